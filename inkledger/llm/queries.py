@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints
+from . import fingerprints, jaccard, language, lines, mixing, sstable, suffixes, topk
+
+#: Path of the tokenizer file of the packing and output queries.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +24,52 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixed(table(spark, sf_dir, "documents"))
+    rates = F.round("rate", 6).alias("rate")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", rates, "kept")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sstable.written(table(spark, sf_dir, "documents"), TOKENIZER)
+    return sstable.read_back(spark, shards)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_fingerprints": op1_fingerprints}
+    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op6_topk, op7_repeats, op8_lines, op10_jaccard)
+    return {f.__name__: f for f in found}
+
+
+OP2_SQL = f"WITH {mixing.sql()} SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, kept FROM mixed"
+
+OP6_SQL = """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+OP8_SQL = f"WITH {lines.sql()} SELECT doc_id, source, text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped FROM lined"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL, "op6_topk": OP6_SQL, "op8_lines": OP8_SQL}
