@@ -50,9 +50,10 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     common = np.zeros(n, dtype=np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
     got = np.zeros(len(a), dtype=np.int64)
-    for rank, width in zip(reversed(ranks), reversed(widths), strict=True):
+    above = [*widths[1:], 2 * widths[-1]]
+    for rank, width, wider in zip(reversed(ranks), reversed(widths), reversed(above), strict=True):
         rank = np.append(rank, -1)
-        for _ in range(3 if width == 1 else 1):
+        for _ in range(wider // width - 1):
             # Past the end every suffix is different.
             same = (rank[np.minimum(a, n)] == rank[np.minimum(b, n)]) & (a < n) & (b < n)
             step = same * width
