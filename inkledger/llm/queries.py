@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lines, mixing, sstable, suffixes, topk
+from . import fingerprints, jaccard, language, lines, mixing, packing, sstable, suffixes, topk
 
 #: Path of the tokenizer file of the packing and output queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -51,12 +51,16 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op6_topk, op7_repeats, op8_lines, op10_jaccard)
+    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard)
     return {f.__name__: f for f in found}
 
 
