@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lines, mixing, packing, sstable, suffixes, topk
+from . import fingerprints, html, jaccard, language, lines, mixing, packing, sstable, suffixes, topk
 
 #: Path of the tokenizer file of the packing and output queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,10 @@ def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_back(spark, shards)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +64,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard)
+    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op5_html, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard)
     return {f.__name__: f for f in found}
 
 
