@@ -497,3 +497,16 @@ def trie_links(tokens: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray |
                 label[label == label[j]] = label[k]
                 out.append((int(order[k]), int(order[j])))
     return out
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of linked documents: that of the smallest id. Columns and their order stay.
+
+    Documents without words are linked with nothing and all stay. A document of null id stays only where no linked one has an
+    id. Rows that repeat both id and text count as copies of one document.
+    """
+    found = stored(linked(docs), "linked")
+    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"))
+    repeated = kept.groupBy("kept_id").count().where("count > 1")
+    rest = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
