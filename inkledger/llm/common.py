@@ -100,18 +100,26 @@ _tokenizers: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Encodes texts by a tokenizer file; each distinct blank-separated word is encoded once per worker.
+    """Encodes texts by a tokenizer file; a blank-separated word is encoded once while it is remembered.
 
-    Exact for tokenizers whose pre-tokenizer drops white space: no token then crosses a blank or
-    a line feed. The cache holds at most max_words words of at most 64 characters.
+    Exact for tokenizers whose pre-tokenizer drops white space: no token then crosses a blank or a line feed. Words of at
+    most 64 characters are remembered in two generations of at most max_words: when the young one is full it becomes the old
+    one, and old words that are met again are young again, so frequent words stay.
     """
 
-    def __init__(self, path: str, max_words: int = 150_000):
+    #: Stands between words that are encoded in one go; words that hold it are encoded alone.
+    MARK = "\x01"
+
+    def __init__(self, path: str, max_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
-        self.known: dict[str, np.ndarray] = {"": np.zeros(0, dtype=np.uint32)}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     @staticmethod
     def of(path: str) -> "WordEncoder":
@@ -119,6 +127,25 @@ class WordEncoder:
             _tokenizers[path] = WordEncoder(path)
         return _tokenizers[path]
 
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if self.MARK not in w] if self.mark is not None else []
+        out = {}
+        for at in range(0, len(plain), 20_000):
+            groups = [plain[k : k + 200] for k in range(at, min(at + 20_000, len(plain)), 200)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=self.kind)
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+                if len(ends) != len(group):
+                    continue
+                low = 0
+                for w, high in zip(group, ends, strict=True):
+                    out[w] = ids[low:high].tobytes()
+                    low = high + 1
+        for w in words:
+            if w not in out:
+                out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return out
+
     def encode(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and the bounds of each text in them (one more than texts)."""
         import pyarrow as pa
@@ -126,28 +153,38 @@ class WordEncoder:
 
         texts = pa.array(texts, pa.large_string()) if not isinstance(texts, pa.Array) else texts.cast(pa.large_string())
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        bounds = np.asarray(words.offsets, dtype=np.int64)
+        bounds = np.asarray(words.offsets, dtype=np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
         coded = words.values[bounds[0] : bounds[-1]].dictionary_encode() if len(texts) else pa.array([], pa.large_string()).dictionary_encode()
-        bounds = bounds - (bounds[0] if len(bounds) else 0)
-        vocabulary = coded.dictionary.to_pylist()
-        missing = [w for w in vocabulary if w not in self.known]
-        own: dict[str, np.ndarray] = {}
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                own[w] = np.asarray(e.ids, dtype=np.uint32)
-        ids = [own[w] if w in own else self.known[w] for w in vocabulary]
-        if len(self.known) + len(own) > self.max_words:
-            self.known = {"": np.zeros(0, dtype=np.uint32)}
-        self.known.update((w, e) for w, e in own.items() if len(w) <= 64)
-        sizes = np.fromiter((len(e) for e in ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        bounds = bounds - bounds[0]
+        vocabulary = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        young, old = self.young, self.old
+        ids = [young.get(w) for w in vocabulary]
+        absent = [k for k, e in enumerate(ids) if e is None]
+        new = []
+        for k in absent:
+            w = vocabulary[k]
+            e = old.get(w)
+            if e is None:
+                new.append(k)
+            else:
+                ids[k] = young[w] = e
+        own = self._encoded([vocabulary[k] for k in new])
+        for k in new:
+            w = vocabulary[k]
+            ids[k] = own[w]
+            if len(w) <= 64:
+                young[w] = own[w]
+        if len(young) > self.max_words:
+            self.old, self.young = young, {}
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
         starts = np.cumsum(sizes) - sizes
         index = np.asarray(coded.indices, dtype=np.int64)
         per_word = sizes[index]
         at = np.zeros(len(index) + 1, dtype=np.int64)
         np.cumsum(per_word, out=at[1:])
-        out = flat[np.repeat(starts[index] - at[:-1], per_word) + np.arange(at[-1])]
+        out = flat[np.repeat(starts[index] - at[:-1], per_word) + np.arange(at[-1])].astype(np.uint32)
         ends = at[bounds]
         if end_id is None:
             return out, ends
