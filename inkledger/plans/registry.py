@@ -1,17 +1,14 @@
-"""Collects the named queries of the core engine and their SQL twins."""
+"""All named queries of the core engine and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import canary_queries, clean_queries, codec_queries, fidelity_queries, file_queries, forensic_queries, wordmark_queries  # noqa: F401
+from .query import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
