@@ -506,7 +506,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     id. Rows that repeat both id and text count as copies of one document.
     """
     found = stored(linked(docs), "linked")
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"))
-    repeated = kept.groupBy("kept_id").count().where("count > 1")
-    rest = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id"))
+    repeated = kept.groupBy("__kept_id").count().where("count > 1")
+    rest = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
     return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id", "text"])

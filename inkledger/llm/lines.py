@@ -56,22 +56,22 @@ def without_boilerplate(pages: DataFrame, host_col: str = "source", text_col: st
     pages = pages.drop("n_lines", "n_dropped")
     found = stored(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
     size = found.select(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0)).alias("n")).first()["n"]
-    names = pages.columns
-    rows = pages.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)))
-    found = found.select(F.col("host").alias("_of"), F.col("lines").alias("_lines"))
+    # The row as it came is one column, so that no name in it can meet one of ours.
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST))
+    rows = pages.select(F.struct("*").alias("page"), host.alias("host"), F.col(text_col).alias("text"))
+    found = found.withColumnRenamed("host", "of")
     if size <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(found), F.col("_host") == F.col("_of"), "left")
+        rows = rows.join(F.broadcast(found), F.col("host") == F.col("of"), "left")
     else:
-        found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")
-        rows = rows.withColumn("_s", salt).join(found.repartition(partitions(spark), "_of", "_salt"), (F.col("_host") == F.col("_of")) & (F.col("_s") == F.col("_salt")), "left")
-    split = F.split(F.col(text_col), "\n")
-    stays = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), _key(x))
-    kept = F.when(F.col("_lines").isNull(), split).otherwise(F.filter(split, stays))
-    rows = rows.withColumn("_kept", kept)
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split))
-    rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", (n - F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("_kept"))).cast("long"))
-    return rows.withColumn(text_col, F.array_join("_kept", "\n")).select(*names, "n_lines", "n_dropped")
+        found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(partitions(spark), "of", "salt")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("text", "host"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(found, (F.col("host") == F.col("of")) & (F.col("own") == F.col("salt")), "left")
+    split = F.split("text", "\n")
+    stays = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("lines"), _key(x))
+    rows = rows.withColumn("rest", F.when(F.col("lines").isNull(), split).otherwise(F.filter(split, stays)))
+    count = lambda x: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
+    kept = [F.array_join("rest", "\n").alias(c) if c == text_col else F.col("page")[c].alias(c) for c in pages.columns]
+    return rows.select(*kept, count(split).alias("n_lines"), (count(split) - count(F.col("rest"))).alias("n_dropped"))
 
 
 def sql(source: str = "documents", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
