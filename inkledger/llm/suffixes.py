@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, dropped, mix, partitions, prefix_sums, shared_path, spans, stored, whole
+from .common import U, bounded_batches, dropped, mix, partitions, prefix_sums, spans, stored, whole
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 40
 #: Bytes of stretches in a block.
 BLOCK = 1 << 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
@@ -128,113 +128,147 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return start, count, grams[anchors[start]].view(np.int64), spans(sums, start, start + count - 1 + LENGTH).view(np.int64)
 
 
+def _packed(batches: Iterator) -> Iterator:
+    """Texts as zstd frames: they are shuffled twice."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], names=["doc_id", "key", "size", "packed"])
+
+
+def _anchored(batches: Iterator) -> Iterator:
+    """The stretches of each distinct text of a task."""
+    import pyarrow as pa
+
+    seen: set[int] = set()
+    for batch in batches:
+        keys, found = [], []
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key not in seen:
+                seen.add(key)
+                keys.append(key)
+                found.append(stretches(np.frombuffer(data, dtype=np.uint8)))
+        if not found:
+            continue
+        start, windows, anchor, body = (np.concatenate(c) for c in zip(*found, strict=True))
+        key = np.repeat(np.array(keys, dtype=np.int64), [len(f[0]) for f in found])
+        arrays = [pa.array(key), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(body)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "start", "windows", "anchor", "body"])
+
+
+def _cut(batches: Iterator) -> Iterator:
+    """The bytes of the stretches asked for of each text."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd")
+    names = ["key", "start", "anchor", "parts", "part", "body"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for batch in batches:
+        out = []
+        for key, size, packed, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = codec.decompress(packed, size, asbytes=True)
+            for x in asked:
+                s = x["start"]
+                out.append((key, s, x["anchor"], x["parts"], x["part"], data[s : s + x["windows"] - 1 + LENGTH]))
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _kept(batches: Iterator) -> Iterator:
+    """What is left of each text without its spans; of a text that occurs more than once, nothing if it is long enough."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd")
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(span))
+    for batch in batches:
+        out = []
+        for doc_id, size, packed, copies, got in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            data, merged = codec.decompress(packed, size, asbytes=True), []
+            if copies > 1 and size >= LENGTH:
+                merged = [(0, size)]
+            elif got.is_valid and len(got):
+                a, b = (np.asarray(got.values.field(i), dtype=np.int64) for i in range(2))
+                order = np.argsort(a, kind="stable")
+                a, reach = a[order], np.maximum.accumulate(b[order])
+                first = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
+                merged = list(zip(a[first].tolist(), reach[np.append(first[1:], len(a)) - 1].tolist(), strict=True))
+            rest, at = hashlib.sha256(), 0
+            for s, e in merged:
+                rest.update(data[at:s])
+                at = e
+            rest.update(data[at:])
+            out.append((doc_id, size, sum(e - s for s, e in merged), len(merged), rest.hexdigest(), [{"start": s, "end": e} for s, e in merged]))
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans.
 
     A byte is removed if a LENGTH-byte string that covers it starts anywhere else too, in any document or the same one,
     overlaps included; judged on the input. Matches don't cross documents. Null texts are empty, texts shorter than LENGTH
-    lose nothing. Rows of equal id and text are documents of their own, as are null ids. An empty table gives an empty
-    table. Other columns are ignored.
+    lose nothing. Rows of equal text, repeated rows and null ids included, are documents of their own and each the
+    repeat of the other. An empty table gives an empty table. Other columns are ignored.
 
-    Documents are known by a row key, stored once with their text; stretches are shuffled as four numbers, and only
-    unresolved ones with their bytes. Equal stretches are one in a block, and an anchor with more stretches than a block
-    holds is dealt out to several blocks, whose windows are then counted together by hash.
+    Texts are known by a 64-bit hash, and equal ones are searched once. Stretches are shuffled as five numbers to find the anchors
+    that occur more than once, and again to meet those; only stretches that are not equal to another as wholes are
+    shuffled with their bytes. An anchor with more of those than a block holds is dealt out to several blocks, whose
+    windows are then counted together by hash, so no anchor's stretches ever meet in one task.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 1000, 4)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(whole(text_col), "utf-8").alias("data"))
+    data = F.encode(whole(text_col), "utf-8")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(data).alias("key"), data.alias("data"))
     n = partitions(spark)
-    # The row key tells rows of equal id apart; it is stored, so that it can't change on a retry.
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    path = shared_path(spark, "texts")
-    keyed.write.option("compression", "zstd").parquet(path)
-    texts = spark.read.schema(keyed.schema).parquet(path)
-
-    def anchored(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [stretches(np.frombuffer(b, dtype=np.uint8)) for b in batch.column(1).to_pylist()]
-            row = np.repeat(np.asarray(batch.column(0), dtype=np.int64), [len(f[0]) for f in found])
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int64)] * 4
-            arrays = [pa.array(row), pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), pa.array(columns[3])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "start", "windows", "anchor", "body"])
-
-    runs = stored(texts.select("row", "data").mapInArrow(anchored, "row long, start long, windows int, anchor long, body long"), "stretches")
-    bodies = runs.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min(F.struct("row", "start")).alias("first"))
-    bodies = stored(bodies, "bodies")
-    anchors = bodies.groupBy("anchor").agg(F.sum("n").alias("copies"), F.count_if(F.col("n") == 1).alias("single"), F.sum(F.col("windows") + LENGTH).alias("bytes"))
-    repeated = anchors.where("copies > 1")
-    # All windows of stretches that are equal as wholes repeat.
-    several = bodies.where("n > 1").select("anchor", "body")
-    whole_runs = runs.join(several, ["anchor", "body"]).select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + LENGTH).alias("b"))
-    # Stretches that are single, and one of each kind they may share windows with.
-    blocks = F.ceil(F.col("bytes") / BLOCK).cast("int")
-    open_ = bodies.join(repeated.where("single > 0").select("anchor", blocks.alias("parts")), "anchor")
-    asked = open_.select(F.col("first.row").alias("row"), F.col("first.start").alias("start"), "windows", "anchor", (F.col("n") > 1).alias("known"), "parts", F.pmod(F.xxhash64("body"), "parts").cast("int").alias("part"))
-    per_row = asked.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "known", "parts", "part")).alias("asked"))
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["row", "start", "windows", "anchor", "known", "parts", "part", "before", "body"]
-        for batch in batches:
-            out = []
-            for row, data, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for x in wanted:
-                    s = x["start"]
-                    out.append((row, s, x["windows"], x["anchor"], x["known"], x["parts"], x["part"], data[s - 1] if s else -1, data[s : s + x["windows"] - 1 + LENGTH]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            columns = zip(*out, strict=True) if out else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    asked_schema = "row long, start long, windows int, anchor long, known boolean, parts int, part int, before int, body binary"
-    by_row = texts.select("row", "data").join(per_row, "row").select("row", "data", "asked").mapInArrow(cut, asked_schema)
-    # Small anchors share tasks; those that need several blocks are dealt by anchor and part.
-    dealt = by_row.repartition(4 * n, "anchor", "part").sortWithinPartitions("anchor", "part")
-    scanned = stored(dealt.mapInArrow(_scanned, "row long, a long, b long, window long, check long"), "repeats")
+    runs = rows.select("key", "data").mapInArrow(_anchored, "key long, start int, windows int, anchor long, body long")
+    place = F.xxhash64("key", "start")
+    anchors = runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("body").alias("one"), F.max("body").alias("other"))
+    repeated = stored(anchors.where("low <> high").select("anchor", (F.col("one") != F.col("other")).alias("mixed")), "anchors")
+    hits = runs.join(repeated, "anchor").select("key", "start", "windows", F.when(F.col("mixed"), F.col("anchor")).alias("anchor"), F.when(F.col("mixed"), F.col("body")).alias("body"))
+    hits = stored(hits, "hits")
+    dropped(repeated)
+    span = lambda df: df.select("key", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("windows") - 1 + LENGTH).cast("long").alias("b"))
+    # Anchors with one kind of stretch: all of its windows repeat. Else kinds with several places: theirs do.
+    mixed = hits.where("anchor IS NOT NULL")
+    at = F.struct("key", "start")
+    bodies = stored(mixed.groupBy("anchor", "body").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("windows").alias("windows")), "bodies")
+    several = bodies.where("first <> last").select("anchor", "body")
+    whole_runs = span(hits.where("anchor IS NULL")).unionByName(span(mixed.join(several, ["anchor", "body"])))
+    # The rest is compared by its bytes, with one stretch of each kind of its anchor.
+    size = F.col("windows") + LENGTH
+    per_anchor = bodies.groupBy("anchor").agg(F.count_if(F.col("first") == F.col("last")).alias("single"), F.ceil(F.sum(size) / BLOCK).cast("int").alias("parts"))
+    asked = bodies.join(per_anchor.where("single > 0"), "anchor").select(
+        F.col("first.key").alias("key"), F.struct(F.col("first.start").alias("start"), "windows", "anchor", "parts", F.pmod(F.xxhash64("body"), "parts").cast("int").alias("part")).alias("x")
+    )
+    per_text = asked.groupBy("key").agg(F.collect_list("x").alias("asked"))
+    texts = rows.mapInArrow(_packed, "doc_id long, key long, size long, packed binary")
+    bytes_ = texts.select("key", "size", "packed").join(per_text, "key").mapInArrow(_cut, "key long, start int, anchor long, parts int, part int, body binary")
+    dealt = bytes_.repartition(4 * n, "anchor", "part").sortWithinPartitions("anchor", "part", "key", "start")
+    scanned = stored(dealt.mapInArrow(_scanned, "key long, a long, b long, window long, check long"), "repeats")
     # Anchors in several blocks: windows met in two blocks.
-    shared = scanned.where("window is not null")
-    met = shared.groupBy("window", "check").agg(F.count("*").alias("n")).where("n > 1").select("window", "check")
-    across = shared.join(met, ["window", "check"]).select("row", "a", "b")
-    found = whole_runs.unionByName(scanned.where("window is null").select("row", "a", "b")).unionByName(across)
-    per_doc = found.groupBy("row").agg(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("end"))).alias("spans"))
-
-    def kept(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-        for batch in batches:
-            out = []
-            for doc_id, data, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                merged = []
-                if got.is_valid and len(got):
-                    spans_ = got.values
-                    a, b = (np.asarray(spans_.field(i), dtype=np.int64) for i in range(2))
-                    order = np.argsort(a, kind="stable")
-                    a, reach = a[order], np.maximum.accumulate(b[order])
-                    first = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
-                    merged = list(zip(a[first].tolist(), reach[np.append(first[1:], len(a)) - 1].tolist(), strict=True))
-                rest, at = hashlib.sha256(), 0
-                for s, e in merged:
-                    rest.update(data[at:s])
-                    at = e
-                rest.update(data[at:])
-                out.append((doc_id, len(data), sum(e - s for s, e in merged), len(merged), rest.hexdigest(), [{"start": s, "end": e} for s, e in merged]))
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return texts.join(per_doc, "row", "left").select("doc_id", "data", "spans").mapInArrow(kept, OUT)
+    shared = scanned.where("window IS NOT NULL")
+    met = shared.groupBy("window", "check").agg(F.min(F.struct("key", "a")).alias("low"), F.max(F.struct("key", "a")).alias("high")).where("low <> high").select("window", "check")
+    across = shared.join(met, ["window", "check"]).select("key", "a", "b")
+    found = whole_runs.unionByName(scanned.where("window IS NULL").select("key", "a", "b")).unionByName(across)
+    per_key = found.groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("start"), F.col("b").alias("end"))).alias("spans"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+    known = copies.join(per_key, "key", "left")
+    return texts.join(known, "key").select("doc_id", "size", "packed", "copies", "spans").mapInArrow(_kept, OUT)
 
 
 def _scanned(batches: Iterator) -> Iterator:
-    """Repeats within each block: (row, a, b) of every occurrence, or the hash of a window another block may hold.
+    """Repeats within each block: (key, a, b) of every occurrence, or the hash of a window another block may hold.
 
-    Rows come sorted by anchor and part; whole groups are gathered up to about BLOCK bytes.
+    Rows come sorted by anchor, part and place; whole groups are gathered up to about BLOCK bytes. A place that comes again,
+    of another copy of its text, counts once.
     """
     import pyarrow as pa
 
-    names = ["row", "a", "b", "window", "check"]
+    names = ["key", "a", "b", "window", "check"]
 
     def flush(held: list[tuple]):
         bodies = [np.frombuffer(h["body"], dtype=np.uint8) for h in held]
@@ -243,7 +277,7 @@ def _scanned(batches: Iterator) -> Iterator:
         data = np.zeros(sizes.sum(), dtype=np.int64)
         own = np.repeat(np.arange(len(held)), sizes)
         for k, (h, body) in enumerate(zip(held, bodies, strict=True)):
-            # The byte before the stretch tells left extensions apart; separators are unique.
+            # Separators are unique: what starts a stretch counts as preceded by something of its own.
             data[offset[k]] = -2 * k - 1
             data[offset[k] + 1 : offset[k] + 1 + len(body)] = body
             data[offset[k] + 1 + len(body)] = -2 * k - 2
@@ -256,7 +290,7 @@ def _scanned(batches: Iterator) -> Iterator:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
         low, high = edge[::2], edge[1::2]
         k = own[low]
-        rows = np.array([h["row"] for h in held], dtype=np.int64)
+        rows = np.array([h["key"] for h in held], dtype=np.int64)
         starts = np.array([h["start"] for h in held], dtype=np.int64)
         a = starts[k] + low - offset[k] - 1
         out = [(rows[k], a, a + high - low, None, None)]
@@ -283,6 +317,8 @@ def _scanned(batches: Iterator) -> Iterator:
     for batch in batches:
         for h in batch.to_pylist():
             now = (h["anchor"], h["part"])
+            if now == group and held and (held[-1]["key"], held[-1]["start"]) == (h["key"], h["start"]):
+                continue
             if now != group and size >= BLOCK:
                 yield from flush(held)
                 held, size = [], 0
