@@ -148,3 +148,40 @@ def bidi_balance(pairs: DataFrame) -> DataFrame:
     orphans = F.greatest(F.col("b.orphans") - F.col("a.orphans"), F.lit(0))
     verdict = F.when(unclosed > 0, "conspicuous").when(orphans > 0, "degraded").otherwise("clean")
     return rows.select("doc_id", unclosed.cast("long").alias("added_unclosed"), orphans.cast("long").alias("added_orphans"), verdict.alias("verdict"))
+
+
+# Risks of a reader's finding, by check and verdict.
+RISKS = {"reflow": {"conspicuous": 1.0, "degraded": 0.4}, "bidi_balance": {"conspicuous": 1.0, "degraded": 0.45}, "word_selection": {"degraded": 0.4}, "paste_safety": {"conspicuous": 1.0}}
+
+
+def assessed(pairs: DataFrame) -> DataFrame:
+    """doc_id, reader_verdict, reader_risk, worst_check, analyst_exposure, not_run: all checks of a copy, rolled up.
+
+    A copy that can't be paired with its cover has no check that ran, and an indeterminate verdict. The largest risk counts, not a mean.
+    """
+    from . import codec
+
+    base = aligned(pairs).select("doc_id", "failure", (F.col("insertions") + F.col("substitutions") > 0).alias("marked_at_all"))
+    reflow = codec.reflowed(pairs).select("doc_id", F.when(F.col("moved") > 0, "conspicuous").otherwise("clean").alias("reflow"))
+    paste = codec.regions(pairs).select("doc_id", F.when(F.col("marks_in_code") > 0, "conspicuous").otherwise("clean").alias("paste_safety"))
+    bidi = bidi_balance(pairs).select("doc_id", F.col("verdict").alias("bidi_balance"))
+    words = word_selection(pairs).select("doc_id", F.col("verdict").alias("word_selection"), (0.5 + 0.5 * F.when(F.col("words") > 0, F.col("broken") / F.col("words")).otherwise(0.0)).alias("word_risk"))
+    rows = base.join(reflow, "doc_id", "left").join(paste, "doc_id", "left").join(bidi, "doc_id", "left").join(words, "doc_id", "left")
+
+    def risk(check: str):
+        r = F.lit(0.0)
+        for verdict, value in RISKS[check].items():
+            r = F.when(F.col(check) == verdict, F.lit(value)).otherwise(r)
+        return F.when((F.lit(check) == "word_selection") & (F.col(check) == "conspicuous"), F.col("word_risk")).otherwise(r)
+
+    each = F.array(*[F.struct(risk(c).alias("risk"), F.lit(c).alias("check"), F.col(c).alias("verdict")) for c in RISKS])
+    ran = F.filter(each, lambda x: x["verdict"].isNotNull() & F.col("failure").isNull())
+    rows = rows.withColumn("ran", ran).withColumn("worst", F.array_max("ran"))
+    rank = F.aggregate("ran", F.lit(0), lambda a, x: F.greatest(a, F.when(x["verdict"] == "conspicuous", 2).when(x["verdict"] == "degraded", 1).otherwise(0)))
+    verdict = F.when(F.col("failure").isNotNull(), "indeterminate").when(rank == 2, "conspicuous").when(rank == 1, "degraded").otherwise("clean")
+    exposure = F.when(F.col("failure").isNotNull(), "indeterminate").when(F.col("marked_at_all"), "exposed").otherwise("not_exposed")
+    names = F.array(*[F.lit(c) for c in RISKS])
+    return rows.select(
+        "doc_id", verdict.alias("reader_verdict"), F.coalesce("worst.risk", F.lit(0.0)).alias("reader_risk"), F.when(F.col("worst.risk") > 0, F.col("worst.check")).alias("worst_check"),
+        exposure.alias("analyst_exposure"), F.when(F.col("failure").isNotNull(), names).otherwise(F.array().cast("array<string>")).alias("not_run"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import codec, sealing
+from ..operators import codec, heavy, sealing
 from .forensic_queries import view
 from .query import query
 from .wordmark_queries import plain
@@ -48,3 +48,25 @@ def payload_codecs(spark, sf_dir):
 @query("SELECT doc_id, TRUE AS valid, FALSE AS altered_valid, FALSE AS other_key_valid FROM documents")
 def document_signatures(spark, sf_dir):
     return sealing.signatures(plain(spark, sf_dir), bytes(range(32)))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS failures, TRUE AS some_written, TRUE AS some_refused")
+def recoverable_frame_failures(spark, sf_dir):
+    rows = heavy.round_trips(view(spark, sf_dir))
+    bad = F.count_if(F.col("refusal").isNull() & ~(F.col("ok") & F.col("tail_found") & F.col("markers_found")))
+    return rows.agg(bad.alias("failures"), (F.count_if(F.col("refusal").isNull()) > 0).alias("some_written"), (F.count_if(F.col("refusal") == "too_small") > 0).alias("some_refused"))
+
+
+@query("SELECT CAST(n AS INTEGER) AS flags, n % 2 = 1 AS stealth, n // 2 % 2 = 1 AS detached, CASE n // 4 % 4 WHEN 0 THEN 'conceal' WHEN 1 THEN 'sign' WHEN 2 THEN 'mark' END AS mission, CASE WHEN n >= 16 THEN 'reserved_flags' WHEN n // 4 % 4 = 3 THEN 'unknown_mission' END AS refusal FROM range(64) t(n)")
+def frame_flags(spark, sf_dir):
+    n = F.col("id")
+    mission = F.shiftright(n, 2) % 4
+    return spark.range(64).select(
+        n.cast("int").alias("flags"), (n % 2 == 1).alias("stealth"), (F.shiftright(n, 1) % 2 == 1).alias("detached"), F.when(mission == 0, "conceal").when(mission == 1, "sign").when(mission == 2, "mark").alias("mission"),
+        F.when(n >= 16, "reserved_flags").when(mission == 3, "unknown_mission").alias("refusal"),
+    )
+
+
+@query("SELECT doc_id, TRUE AS valid, TRUE AS altered_refused, TRUE AS kinds_kept FROM documents")
+def signed_claims(spark, sf_dir):
+    return sealing.claims(plain(spark, sf_dir), bytes(range(32)))

@@ -97,3 +97,9 @@ def fidelity_reflow(spark, sf_dir):
 def protected_regions(spark, sf_dir):
     """Fences, code spans and maths of every text, and marks that fell inside code."""
     return codec.regions(view(spark, sf_dir))
+
+
+@query()
+def fidelity_assess(spark, sf_dir):
+    """The roll-up: what a reader and what an analyst may notice, with the checks that could not run."""
+    return fi.assessed(view(spark, sf_dir))

@@ -119,3 +119,38 @@ def test_stream(spark, tmp_path):
     done = forensics.verdicts(stream).writeStream.format("memory").queryName("verdicts").trigger(availableNow=True).start()
     done.awaitTermination(60)
     assert spark.table("verdicts").count() == 2
+
+
+def test_recoverable_frame():
+    from inkledger.operators import heavy
+
+    bits = heavy.build(2003, b"payload", b"s" * 16, flags=5)
+    head, payload = heavy.read(bits + "0" * 3)
+    assert payload == b"payload" and head.salt == b"s" * 16 and head.flags == 5
+    assert heavy.locate("1" + bits[200:] + "0" * 3)[1] == "tail"
+    _, at, _ = heavy.layout(2003)
+    assert [n for _, n in heavy.markers(bits[700:])] == [a // heavy.spacing(2003) for a in at if a >= 700]
+    with pytest.raises(ValueError, match="too_small"):
+        heavy.build(300, b"x")
+    with pytest.raises(ValueError, match="bad_checksum"):
+        heavy.read("".join("1" if k == 40 and b == "0" else "0" if k == 40 else b for k, b in enumerate(bits)))
+
+
+def test_claims():
+    from inkledger.operators import sealing
+
+    claim = sealing.claim_of("text", bytes(32), [{"kind": "integrity"}])
+    assert sealing.claim_findings("text", claim) == []
+    assert sealing.claim_findings("text", claim.replace("integrity", "ai_generated")) == ["signature_invalid"]
+    assert sealing.claim_findings("text", "{") == ["unreadable_claim"]
+    with pytest.raises(ValueError, match="no_assertion"):
+        sealing.claim_of("text", bytes(32), [])
+
+
+def test_metadata_and_pdf():
+    png = files._png([(b"IHDR", bytes(13)), (b"tEXt", b"Author\0someone"), (b"IEND", b"")])
+    assert files.image_metadata(png) == {"Author": "someone"}
+    assert files.image_metadata(files.stripped(png, "png")) == {}
+    assert files.credential_presence(b"..jumb..c2pa..") == "present" and files.credential_presence(png) == "absent"
+    made = files.pdf("line (one)\n" * 130)
+    assert made.startswith(b"%PDF") and made.count(b"/Type /Page ") == 3
