@@ -177,3 +177,15 @@ def test_boilerplate_beyond_the_broadcast(spark, monkeypatch):
     small = sorted(map(str, lines.without_boilerplate(docs).collect()))
     monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
     assert sorted(map(str, lines.without_boilerplate(docs).collect())) == small
+
+
+def test_cleanup(spark, docs):
+    from pathlib import Path
+
+    from inkledger.llm.common import cleanup, shared_dir, stored
+
+    stored(docs, "left").count()
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    assert any(folder.glob("left-*"))
+    cleanup(spark)
+    assert not any(folder.glob("left-*"))
