@@ -29,7 +29,7 @@ THRESHOLD = 80
 #: workers (at most the sample's shingles / SAMPLE_LEAST); any choice gives the same links.
 SAMPLE_DOCS, SAMPLE_LEAST = 8000, 16
 #: Shingles per bucket when they are counted, per message of a task, and per block of a cluster.
-BUCKET, MESSAGE, BLOCK = 1_000_000, 2_000_000, 1_000_000
+BUCKET, MESSAGE, BLOCK = 1_000_000, 1_000_000, 1_000_000
 #: Bits of a shingle that identify it within its bucket.
 BITS = 48
 _STEPS = [U(pow(0xA24BAED4963EE407, k + 1, 1 << 64)) for k in range(WORDS)]
@@ -508,5 +508,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(linked(docs), "linked")
     kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id"))
     repeated = kept.groupBy("__kept_id").count().where("count > 1")
-    rest = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    # The same plan at every size: kept ids grow with the documents, so they are never broadcast.
+    rest = docs.join(kept.distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
     return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
