@@ -26,8 +26,10 @@ MAX_LANGS, MAX_DOCS, MAX_DOC_CHARS, MAX_CHARS = 256, 120, 2000, 20_000
 #: Bound of the tables of all automata together, in states.
 MAX_STATES = 500_000
 SEGMENT = 256
+#: Columns of an automaton's table: the blank, its language's most frequent letters, and one for letters the language hasn't; moves
+#: by its other letters are kept as pairs.
 SYMBOLS = 64
-SPACE, STRANGE, PAD = 0, SYMBOLS - 2, SYMBOLS - 1
+SPACE = 0
 
 
 def held_out(id_col: str = "doc_id"):
@@ -67,13 +69,14 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 class Automaton:
-    """Suffix automaton of a symbol sequence, as a table of moves.
+    """Suffix automaton of a symbol sequence.
 
-    moves[state * SYMBOLS + symbol] is twice the next state's row, plus 1 where the phrase had to end
-    before the symbol: the next phrase then begins with it.
+    Symbols are given columns of its own, the most frequent letters first. moves[state * width + column] is twice the
+    next state's row, plus 1 where the phrase had to end before the symbol: the next phrase then begins with it.
+    Letters beyond the table's columns have columns from width on, and their moves are looked up by state and column.
     """
 
-    def __init__(self, symbols: list[int]):
+    def __init__(self, symbols: list[int], n_symbols: int):
         goes, link, length, last = [{}], [-1], [0], 0
         for c in symbols:
             now = len(goes)
@@ -99,43 +102,73 @@ class Automaton:
                     link[q] = link[now] = twin
             last = now
         self.size = max(2, len(symbols))
-        table = np.zeros((len(goes), SYMBOLS), dtype=np.int32)
-        root = np.zeros(SYMBOLS, dtype=np.int32)
+        ranked = [SPACE, *(c for c, _ in sorted(Counter(s for s in symbols if s != SPACE).items(), key=lambda x: (-x[1], x[0])))]
+        dense = min(len(ranked), SYMBOLS - 1)
+        self.width = width = dense + 1
+        self.column = np.full(n_symbols, dense, dtype=np.min_scalar_type(n_symbols + width))
+        column = {}
+        for k, c in enumerate(ranked):
+            column[c] = self.column[c] = k if k < dense else k + 1
+        table = np.zeros((len(goes), width), dtype=np.int64)
+        root = np.zeros(len(ranked) + 1, dtype=np.int64)
         for c, to in goes[0].items():
-            root[c] = to
-        table[:] = root * SYMBOLS * 2 + 1
+            root[column[c]] = to * width * 2 + 1
+        root[dense] = 1
+        root[root == 0] = 1
+        table[:] = root[:width]
+        keys, values = [], []
+        self.span = len(ranked) + 1
         for state, out in enumerate(goes):
             for c, to in out.items():
-                table[state, c] = to * SYMBOLS * 2
-        table[:, PAD] = np.arange(len(goes)) * SYMBOLS * 2
-        self.moves = table.ravel()
-
-    def phrases(self, columns: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each segment; columns[t] holds the t-th symbol of all segments, longest first, active[t] of which go on."""
-        state = np.zeros(columns.shape[1], dtype=np.int64)
-        ended = np.zeros(columns.shape[1], dtype=np.int64)
-        for t in range(columns.shape[0]):
+                if column[c] < width:
+                    table[state, column[c]] = to * width * 2
+                else:
+                    keys.append(state * self.span + column[c])
+                    values.append(to * width * 2)
+        self.moves = table.astype(np.int32).ravel()
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys, self.values, self.root = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int32)[order], root.astype(np.int32)
+
+    def _rare(self, state: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Moves by columns beyond the table."""
+        key = state // self.width * self.span + columns
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.root[columns])
+
+    def phrases(self, symbols: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Phrases of each segment; symbols[t] holds the t-th symbol of all segments, longest first, active[t] of which go on."""
+        state = np.zeros(symbols.shape[1], dtype=np.int64)
+        ended = np.zeros(symbols.shape[1], dtype=np.int64)
+        for t in range(symbols.shape[0]):
             n = active[t]
-            got = self.moves[state[:n] + columns[t, :n]]
+            column = self.column[symbols[t, :n]]
+            if len(self.keys):
+                got = self.moves[state[:n] + np.minimum(column, self.width - 1)]
+                rare = np.flatnonzero(column >= self.width)
+                got[rare] = self._rare(state[rare], column[rare].astype(np.int64))
+            else:
+                got = self.moves[state[:n] + column]
             ended[:n] += got & 1
             state[:n] = got >> 1
         return ended + 1
 
 
 class Model:
-    """The automata of all languages and the symbols they share."""
+    """The automata of all languages and the symbols they share: every letter of the sample has one."""
 
     def __init__(self, sample: dict[str, str]):
         letters = Counter(c for text in sample.values() for c in text.lower() if c.isalpha())
-        self.table = np.full(0x110000, SPACE, dtype=np.uint8)
-        self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = STRANGE
-        for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: STRANGE - 1]):
+        self.n_symbols = len(letters) + 2
+        strange = self.n_symbols - 1
+        self.table = np.full(0x110000, SPACE, dtype=np.min_scalar_type(self.n_symbols))
+        self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = strange
+        for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))):
             self.table[ord(c)] = k + 1
         self.langs = list(sample)
         self.automata = []
         for text in sample.values():
             symbols, _, _ = self.symbols([text])
-            self.automata.append(Automaton([s for s in symbols.tolist() if s != STRANGE]))
+            self.automata.append(Automaton(symbols.tolist(), self.n_symbols))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts in a row (a run of other characters is one SPACE), symbols and letters per text."""
@@ -176,7 +209,7 @@ class Model:
                 continue
             cost = totals[:, i] * weights
             first = int(np.argmin(cost))
-            second = float(np.min(np.delete(cost, first))) if len(cost) > 1 else max(cost[first], sizes[i] * math.log2(SYMBOLS))
+            second = float(np.min(np.delete(cost, first))) if len(cost) > 1 else max(cost[first], sizes[i] * math.log2(max(SYMBOLS, self.n_symbols)))
             out.append((self.langs[first], max(0.0, min(1.0, 1.0 - float(cost[first]) / second)), int(letters[i]), int(totals[first, i])))
         return out
 
