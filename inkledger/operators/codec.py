@@ -220,6 +220,14 @@ def read_bits(text: str, carrier: str) -> str:
     return "".join("1" if c == one else "0" for c in text if c in (zero, one))
 
 
+#: What a cover or payload is refused for before anything is written. Any other error is a failure.
+REFUSALS = frozenset(("occupied", "too_small", "empty_payload", "payload_too_long"))
+
+
+def refusal(why: ValueError) -> str | None:
+    return str(why) if str(why) in REFUSALS else None
+
+
 #: Shares of positions a concealed payload may fill, and carriers in the order they are written.
 CARRIERS = ("zero_width", "whitespace_var", "bidi", "homoglyph")
 
@@ -266,7 +274,8 @@ def decode(text: str, carriers: tuple[str, ...] = CARRIERS) -> tuple[bytes, list
 
 
 def round_trips(docs: DataFrame) -> DataFrame:
-    """doc_id, carrier, refusal, ok, stripped_ok: every document through every carrier and back, with a secret of its own."""
+    """doc_id, carrier, refusal, ok, stripped_ok: every document through every carrier and back, with a secret of its own. A secret
+    that can't be read back is not ok, and no refusal."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -282,9 +291,15 @@ def round_trips(docs: DataFrame) -> DataFrame:
                 for carrier in CARRIERS:
                     try:
                         marked = encode(text, secret, (carrier,))
-                        out.append((doc_id, carrier, None, decode(marked)[0] == secret, marked.translate(strip[carrier]) == text))
                     except ValueError as why:
-                        out.append((doc_id, carrier, str(why), None, None))
+                        no = refusal(why)
+                        out.append((doc_id, carrier, no, None, None) if no else (doc_id, carrier, None, False, False))
+                        continue
+                    try:
+                        ok = decode(marked)[0] == secret
+                    except (ValueError, IndexError):
+                        ok = False
+                    out.append((doc_id, carrier, None, ok, marked.translate(strip[carrier]) == text))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -305,8 +320,8 @@ def excerpts(docs: DataFrame) -> DataFrame:
                 secret = f"s{doc_id}".encode()
                 try:
                     marked = encode(text, secret, ("homoglyph",), repeat=True)
-                except ValueError:
-                    out.append((doc_id, 0, None))
+                except ValueError as why:
+                    out.append((doc_id, 0, None if refusal(why) else False))
                     continue
                 size = len(to_bits(frame(envelope([("crc32", b"")], secret + _crc32(secret)))))
                 copies = len(read_bits(text, "homoglyph")) // size

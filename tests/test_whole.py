@@ -3,7 +3,7 @@
 import zlib
 
 from inkledger.functions import crypto
-from inkledger.operators import sealing
+from inkledger.operators import codec, heavy, sealing
 
 TEXT = "first line\n" + "a later line of the text, ünïcode too\n" * 5000
 
@@ -44,3 +44,25 @@ def test_many_blocks_equal_one_by_one():
         data = bytes(k * 7 % 251 for k in range(size))
         stream = b"".join(crypto._block(key, 1 + k, nonce) for k in range(-(-size // 64)))
         assert crypto.chacha20(key, nonce, data) == bytes(a ^ b for a, b in zip(data, stream, strict=False))
+
+
+COVER = "Once upon a time there was a small house near the wood, and its people kept a book of letters. " * 12
+
+
+def test_a_lost_secret_is_a_failure_and_no_refusal(monkeypatch):
+    docs = Rows([1, 2], [COVER, "no"])
+    assert [r["refusal"] for r in codec.round_trips(docs) if r["carrier"] == "homoglyph"] == [None, "too_small"]
+    for name in ("no_frame", "payload_damaged", "layers_differ"):
+        monkeypatch.setattr(codec, "decode", lambda *_, why=name: (_ for _ in ()).throw(ValueError(why)))
+        got = [r for r in codec.round_trips(docs) if r["doc_id"] == 1]
+        assert all(r["refusal"] is None and r["ok"] is False and r["stripped_ok"] for r in got)
+    monkeypatch.setattr(codec, "read_bits", lambda *_: "")
+    got = [r for r in codec.round_trips(docs) if r["doc_id"] == 1]
+    assert all(r["refusal"] is None and r["ok"] is False for r in got)
+
+
+def test_a_lost_frame_is_a_failure_and_no_refusal(monkeypatch):
+    docs = Rows([1, 2], [COVER * 2, "no"])
+    assert [(r["refusal"], r["ok"]) for r in heavy.round_trips(docs)] == [(None, True), ("too_small", None)]
+    monkeypatch.setattr(heavy, "preamble", lambda _: (_ for _ in ()).throw(ValueError("bad_checksum")))
+    assert [(r["refusal"], r["ok"]) for r in heavy.round_trips(docs)] == [(None, False), ("too_small", None)]
