@@ -24,6 +24,23 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def checksums(docs: DataFrame) -> DataFrame:
+    """doc_id, crc32_hex, crc16_hex of every whole text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import binascii
+
+        import pyarrow as pa
+
+        for batch in batches:
+            data = [t.encode() for t in batch.column(1).to_pylist()]
+            # crc_hqx has crc16's polynomial.
+            columns = [pa.array([f"{binascii.crc32(d):08x}" for d in data], pa.string()), pa.array([f"{binascii.crc_hqx(d, 0xFFFF):04x}" for d in data], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "crc32_hex", "crc16_hex"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, crc32_hex string, crc16_hex string")
+
+
 def to_bits(data: bytes) -> str:
     return "".join(f"{b:08b}" for b in data)
 

@@ -16,6 +16,12 @@ def checksums(spark, sf_dir):
     return plain(spark, sf_dir).select("doc_id", value.alias("crc32_hex"))
 
 
+@query()
+def document_checksums(spark, sf_dir):
+    """CRC-32 and CRC-16 of every whole text, which the SQL of checksums can't tell."""
+    return codec.checksums(plain(spark, sf_dir))
+
+
 @query()
 def carrier_round_trips(spark, sf_dir):
     """Every document through every carrier and back; refusals are named."""

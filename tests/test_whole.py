@@ -66,3 +66,10 @@ def test_a_lost_frame_is_a_failure_and_no_refusal(monkeypatch):
     assert [(r["refusal"], r["ok"]) for r in heavy.round_trips(docs)] == [(None, True), ("too_small", None)]
     monkeypatch.setattr(heavy, "preamble", lambda _: (_ for _ in ()).throw(ValueError("bad_checksum")))
     assert [(r["refusal"], r["ok"]) for r in heavy.round_trips(docs)] == [(None, False), ("too_small", None)]
+
+
+def test_checksums_of_whole_texts():
+    texts = ["", "123456789", TEXT]
+    got = codec.checksums(Rows([1, 2, 3], texts))
+    assert [(r["crc32_hex"], r["crc16_hex"]) for r in got] == [(f"{zlib.crc32(t.encode()):08x}", f"{codec.crc16(t.encode()):04x}") for t in texts]
+    assert got[1]["crc32_hex"] == "cbf43926" and got[1]["crc16_hex"] == "29b1"
