@@ -7,53 +7,84 @@ array of scores, then the largest are selected by partition, and the blocks' sel
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions
-
-SCHEMA = "query_id long, vec_id long, score long"
-#: Rows of a block: with 64 dimensions of 8 bytes, 2 MB of candidates and 0.5 MB of queries.
-CANDIDATES, QUERIES = 4096, 1024
-#: Components are held to this size, so that no inner product of up to 2**10 terms leaves a long.
-LARGEST = 1 << 26
-
-
-def _dense(vectors: list) -> np.ndarray:
-    width = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), width), dtype=np.int64)
-    for k, v in enumerate(vectors):
-        out[k, : len(v)] = v
-    return out
+from .common import partitions
+
+SCHEMA = "query_id long, query_key long, vec_id long, score long, beyond binary"
+#: Rows of a block if they have so many dimensions; fewer of longer ones. A block is 16 MB of candidates and 4 MB of queries, and
+#: N candidates and Q queries make N * Q / QUERIES + Q * N / CANDIDATES rows of shuffle.
+CANDIDATES, QUERIES, DIMENSIONS = 32_768, 8192, 64
+#: Candidates of a block at least, where more blocks would only keep more cores busy.
+LEAST_CANDIDATES = 2048
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+#: Scores that fit a long all have this mark; others are ordered by theirs.
+FITS = b"\x01"
+
+
+def beyond(score: int) -> bytes:
+    """A mark whose order as bytes is that of scores outside a long; those inside have FITS."""
+    if _LOW <= score <= _HIGH:
+        return FITS
+    size = (abs(score).bit_length() + 7) // 8
+    magnitude = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\x02" + magnitude if score > 0 else b"\x00" + bytes(255 - x for x in magnitude) + b"\xff"
+
+
+def terms(vectors, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dimension, floor(scale * x)) of every component that isn't 0 then: 64-bit integers if all fit, else Python's."""
+    import pyarrow as pa
+
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
+    values = np.asarray(lists.flatten(), dtype=np.float64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    dimension = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if np.abs(values).max(initial=0.0) < 2.0**62 / scale:
+        weights = np.floor(values * scale).astype(np.int64)
+    else:
+        # A double that large is a whole number.
+        weights = np.array([math.floor(x * scale) if abs(x * scale) < 2.0**62 else int(x) * scale for x in values.tolist()], dtype=object)
+    some = np.flatnonzero(weights)
+    return row[some], dimension[some], weights[some]
 
 
 class Postings:
-    """Posting lists of a block of candidates."""
+    """Posting lists of a block of candidates, for queries of at most so many terms, none larger than `largest`."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray):
+    def __init__(self, ids: np.ndarray, row: np.ndarray, dimension: np.ndarray, weights: np.ndarray, largest: int, most: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.lists = ids[order], []
-        for column in weights[order].T:
-            rows = np.flatnonzero(column)
+        self.ids, place = ids[order], np.empty(len(ids), dtype=np.int64)
+        place[order] = np.arange(len(ids))
+        # Sums that could leave 64 bits are taken in Python's integers.
+        self.kind = np.int64 if int(abs(weights).max(initial=0)) * largest * most <= _HIGH else object
+        row, weights = place[row], weights.astype(self.kind)
+        by_term = np.lexsort((row, dimension))
+        row, dimension, weights = row[by_term], dimension[by_term], weights[by_term]
+        known, starts = np.unique(dimension, return_index=True)
+        self.lists = {}
+        for term, low, high in zip(known.tolist(), starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
             # A full list needs no row numbers: its weights are added as they stand.
-            self.lists.append((None if len(rows) == len(column) else rows, np.ascontiguousarray(column[rows])))
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best candidates of a query row, and their scores; ties go to smaller ids."""
-        scores = np.zeros(len(self.ids), dtype=np.int64)
-        for term in np.flatnonzero(query[: len(self.lists)]):
-            rows, weights = self.lists[term]
-            if rows is None:
-                scores += weights * query[term]
-            else:
-                scores[rows] += weights * query[term]
+            self.lists[term] = (None if high - low == len(ids) else row[low:high], weights[low:high])
+
+    def best(self, query_id: int, query: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best candidates of a query's terms, and their scores; ties go to smaller ids."""
+        scores = np.zeros(len(self.ids), dtype=self.kind)
+        for term, weight in query:
+            if term in self.lists:
+                rows, weights = self.lists[term]
+                if rows is None:
+                    scores += weights * weight
+                else:
+                    scores[rows] += weights * weight
         others = np.flatnonzero(self.ids != query_id)
         scores, ids = scores[others], self.ids[others]
         if len(scores) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if self.kind is np.int64 else sorted(scores.tolist())[-k]
             over, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
             chosen = np.concatenate((over, ties[: k - len(over)]))
         else:
@@ -61,56 +92,66 @@ class Postings:
         return ids[chosen], scores[chosen]
 
 
-def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, of the vectors that take part."""
-    doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    bad = F.exists("d", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    held = lambda x: F.greatest(F.least(F.floor(x * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("long")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("d")).where("vec_id is not null and d is not null")
-    return rows.where(~bad).select("vec_id", F.transform("d", held).alias("v"))
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, v): the vectors that take part, as doubles."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where("vec_id is not null and v is not null").where(~bad)
 
 
 def top_k(vectors: DataFrame, query_modulus: int = 100, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by query_modulus.
 
     Every query meets every other row, in blocks of at most about QUERIES by CANDIDATES rows, so the work is that of
-    an exhaustive search and a task holds two blocks. Rows with the query's own id are its own. Null ids and
+    an exhaustive search and a task holds two blocks. Rows with the query's own id are its own and no candidates. Query rows
+    of one id and different vectors are queries of their own, each with ranks from 1; equal ones are one query. Null ids and
     vectors that are null or hold null or non-finite components take no part; an empty vector scores 0;
-    vectors of unequal length are compared as sparse rows, a missing component being 0. Components beyond
-    +-LARGEST are held to it. Ties go to the smaller id, repeated rows each take a rank. An empty table, or
-    one without queries, gives no row. Other columns are ignored.
+    vectors of unequal length are compared as sparse rows, a missing component being 0. Scores are exact integers of any
+    size and ranked as such; one that a long can't hold is given as the nearest long. Ties go to the smaller id, repeated
+    candidate rows each take a rank. An empty table, or one without queries, gives no row. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark, 2000)
-    rows = scaled(vectors, id_col, vector_col, scale)
+    rows = taking_part(vectors, id_col, vector_col)
     is_query = F.col("vec_id") % query_modulus == 0
-    sizes = vectors.select(F.count("*").alias("n"), F.count_if(F.col(id_col) % query_modulus == 0).alias("q")).first()
-    n_candidates, n_queries = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
+    width = F.size("v")
+    sizes = rows.select(F.count("*").alias("n"), F.sum(width).alias("all"), F.sum(F.when(is_query, width)).alias("asked")).first()
+    blocks = lambda components, rows: -(-(components or 0) // (rows * DIMENSIONS))
+    n_queries = max(1, blocks(sizes["asked"], QUERIES))
+    n_candidates = max(1, blocks(sizes["all"], CANDIDATES), min(partitions(spark), sizes["n"] // LEAST_CANDIDATES))
     dealt = lambda seed, n: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(n)).cast("int")
-    block = F.col("candidates") * n_queries + F.col("queries")
+    block = F.col("candidates").cast("long") * n_queries + F.col("queries")
     candidates = (
         rows.withColumn("candidates", dealt(1, n_candidates)).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).select(block.alias("block"), "vec_id", "v")
     )
+    queries = rows.where(is_query).withColumn("query_key", F.xxhash64("v")).dropDuplicates(["vec_id", "query_key"])
     queries = (
-        rows.where(is_query).distinct().withColumn("queries", dealt(2, n_queries)).withColumn("candidates", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1)))).select(block.alias("block"), "vec_id", "v")
+        queries.withColumn("queries", dealt(2, n_queries)).withColumn("candidates", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1)))).select(block.alias("block"), "vec_id", "query_key", "v")
     )
-    found = queries.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(_searched(k), SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = queries.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(_searched(k, scale), SCHEMA)
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(k: int):
+def _searched(k: int, scale: int):
     def search(queries, candidates):
         import pyarrow as pa
 
-        ids = np.asarray(candidates.column("vec_id"), dtype=np.int64)
-        postings = Postings(ids, _dense(candidates.column("v").to_pylist()))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for query_id, query in zip(queries.column("vec_id").to_pylist(), _dense(queries.column("v").to_pylist()), strict=True):
-            got, scores = postings.best(query_id, query, k)
-            out.append((np.full(len(got), query_id, dtype=np.int64), got, scores))
-        columns = [np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+        row, dimension, weights = terms(queries.column("v"), scale)
+        ends = np.searchsorted(row, np.arange(queries.num_rows + 1)).tolist()
+        asked = list(zip(dimension.tolist(), weights.tolist(), strict=True))
+        most = int(np.diff(ends).max(initial=1))
+        postings = Postings(np.asarray(candidates.column("vec_id"), dtype=np.int64), *terms(candidates.column("v"), scale), int(abs(weights).max(initial=0)), most)
+        columns = {name: [] for name in ("query_id", "query_key", "vec_id", "score", "beyond")}
+        for n, (query_id, key) in enumerate(zip(queries.column("vec_id").to_pylist(), queries.column("query_key").to_pylist(), strict=True)):
+            ids, scores = postings.best(query_id, asked[ends[n] : ends[n + 1]], k)
+            exact = scores.tolist()
+            columns["query_id"] += [query_id] * len(ids)
+            columns["query_key"] += [key] * len(ids)
+            columns["vec_id"] += ids.tolist()
+            columns["score"] += [min(max(x, _LOW), _HIGH) for x in exact]
+            columns["beyond"] += [beyond(x) for x in exact]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({name: pa.array(c, t) for (name, c), t in zip(columns.items(), kinds, strict=True)})
 
     return search

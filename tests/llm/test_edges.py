@@ -135,11 +135,31 @@ def test_top_k(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.5], 0), (2, [1.0, 0.5], 0), (3, None, 0), (4, [1.0, None], 0), (5, [float("nan"), 1.0], 0), (6, [], 0), (7, [1.0], 0), (None, [9.0, 9.0], 0), (100, [1e30, -1e30], 1), (1, [1.0, 0.5], 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, k=5).collect())
-    assert got[:4] == [(0, 1, 100, 1024 * topk.LARGEST), (0, 2, 1, 1048576), (0, 3, 1, 1048576), (0, 4, 2, 1048576)]
+    # floor(1024 * 1e30) * 1024 leaves a long: it comes first, as the largest one.
+    assert got[:4] == [(0, 1, 100, 2**63 - 1), (0, 2, 1, 1048576), (0, 3, 1, 1048576), (0, 4, 2, 1048576)]
     assert topk.top_k(vectors.where("vec_id = 1")).count() == 0
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_ranks_large_components_exactly(spark):
+    # 1024 * 100000 squared and beside 1024 * 90000; then scores beyond a long on both sides, told apart by their exact values.
+    rows = [(0, [100000.0]), (1, [90000.0]), (2, [100000.0]), (100, [2.0**80]), (3, [2.0**70]), (4, [2.0**70 + 2.0**20]), (5, [-(2.0**70)]), (6, [-(2.0**71)])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(vectors, k=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [v for v, _ in got[0]] == [100, 4, 3, 2, 1, 5, 6]
+    assert got[0][3:5] == [(2, 10485760000000000), (1, 9437184000000000)]
+    assert [v for v, _ in got[100]] == [4, 3, 0, 2, 1, 5, 6]
+    assert {s for _, s in got[0][:3]} == {2**63 - 1} and {s for _, s in got[0][-2:]} == {-(2**63)}
+
+
+def test_top_k_queries_of_one_id(spark):
+    rows = [(0, [1.0]), (0, [-1.0]), (0, [1.0]), (1, [1.0]), (2, [2.0])]
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, -1048576), (1, 2, 2097152), (2, 1, 1048576), (2, 2, -2097152)]
+
+
 def test_html(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>unclosed <b>text, and some more of it &amp; more.<p>next one"), (4, "u", "<div " + "a" * 100_000), (4, "u", "<article><p>" + "word, and more. " * 20_000 + "</p></article>")]
     got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
