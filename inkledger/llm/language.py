@@ -3,7 +3,9 @@
 For each language a suffix automaton holds every substring of a bounded sample of its labelled text. A text
 is parsed greedily against each automaton: a phrase runs as long as the automaton can follow, so phrases
 are longest matches. The language whose automaton needs the fewest phrases, normalised by the size of
-its sample, wins.
+its sample, wins: a phrase counts the bits that name its place in the sample and the symbol after it, and a text starts
+with the bits by which the language's sample is short of the largest one, so that a language of a few labelled words
+wins no text by being cheap.
 """
 
 from __future__ import annotations
@@ -14,17 +16,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, whole
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_letters long, phrases long"
-#: Bounds of the labelled sample: languages, documents per language, characters per document and per language.
-MAX_LANGS, MAX_DOCS, MAX_DOC_CHARS, MAX_CHARS = 256, 120, 2000, 20_000
-#: Bound of the tables of all automata together, in states.
-MAX_STATES = 500_000
+#: Bounds of the labelled sample: rows per language that are drawn on average, characters per language.
+MAX_DOCS, MAX_CHARS = 120, 20_000
+#: Bound of the tables of all automata together, in states: beyond MAX_STATES / (2 * MAX_CHARS) languages, each one's sample is smaller.
+MAX_STATES = 1_000_000
+#: Labels beyond this many are refused by name, not left out: a column of that many values holds no languages.
+MAX_LANGS = 4096
+#: A sample shorter than this counts as one of this size: what a short one lacks tells nothing.
+LEAST_SAMPLE = 1024
 SEGMENT = 256
 #: Columns of an automaton's table: the blank, its language's most frequent letters, and one for letters the language hasn't; moves
 #: by its other letters are kept as pairs.
@@ -38,33 +44,34 @@ def held_out(id_col: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """At most MAX_CHARS characters of text per language, from rows with a label that are not held out.
+    """At most MAX_CHARS characters of text per language, of every language, from rows with a label that are not held out.
 
-    Rows are taken in the order of a hash of id and text, so the sample is the same on every run. At most
-    MAX_LANGS languages (the most frequent) are learned; the driver holds no more than
-    MAX_LANGS * 2 * MAX_DOCS texts of MAX_DOC_CHARS characters.
+    Rows are drawn by a hash of id and text, so the sample is the same on every run, and taken whole as long as they fit
+    the budget; where no drawn row of a language fits it, its shortest one is cut to it. Texts are read only of the rows
+    taken, so the driver holds no more than the budget of each language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(MAX_LANGS + 1).collect()
     if not counts:
         return {}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"too_many_labels: more than {MAX_LANGS}")
+    budget = min(MAX_CHARS, MAX_STATES // (2 * len(counts)))
     scale = 1 << 30
     # On average MAX_DOCS rows of each language; all of a language that has no more than 4 * MAX_DOCS.
-    limits = {r["lang"]: scale if r["count"] <= 4 * MAX_DOCS else math.ceil(scale * MAX_DOCS / r["count"]) for r in counts}
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col(lang_col)]
+    limits = {r["lang"]: math.ceil(scale * MAX_DOCS / r["count"]) for r in counts if r["count"] > 4 * MAX_DOCS}
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(scale))
-    rows = (
-        known.where(drawn < limit)
-        .select(F.col(lang_col).alias("lang"), drawn.alias("drawn"), F.substring(F.col(text_col), 1, MAX_DOC_CHARS).alias("text"))
-        .collect()
-    )
-    per_language = min(MAX_CHARS, MAX_STATES // (2 * len(counts)))
+    lang = F.col(lang_col).cast("string")
+    if limits:
+        limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[lang]
+        known = known.where(drawn < F.coalesce(limit, F.lit(scale)))
+    rows = known.select(lang.alias("lang"), drawn.alias("drawn"), F.length(text_col).alias("size"), F.col(text_col).alias("text"))
+    of_lang = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(budget)), "drawn", "text")
+    so_far = F.sum(F.col("size") + 1).over(of_lang.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = rows.withColumn("end", so_far).withColumn("at", F.row_number().over(of_lang)).where(f"at = 1 OR end <= {budget + 1}")
     sample: dict[str, list[str]] = {}
-    sizes: Counter = Counter()
-    for r in sorted(rows, key=lambda r: (r["lang"], r["drawn"], r["text"])):
-        if sizes[r["lang"]] < per_language:
-            sample.setdefault(r["lang"], []).append(r["text"][: per_language - sizes[r["lang"]]])
-            sizes[r["lang"]] += len(r["text"])
+    for r in taken.select("lang", "at", F.substring("text", 1, budget).alias("text")).orderBy("lang", "at").collect():
+        sample.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(texts) for lang, texts in sorted(sample.items())}
 
 
@@ -72,7 +79,8 @@ class Automaton:
     """Suffix automaton of a symbol sequence.
 
     Symbols are given columns of its own, the most frequent letters first. moves[state * width + column] is twice the
-    next state's row, plus 1 where the phrase had to end before the symbol: the next phrase then begins with it.
+    next state's row, plus 1 where the phrase had to end before the symbol: the next phrase then begins with it. A letter
+    that the sample hasn't is a phrase of its own.
     Letters beyond the table's columns have columns from width on, and their moves are looked up by state and column.
     """
 
@@ -109,13 +117,16 @@ class Automaton:
         column = {}
         for k, c in enumerate(ranked):
             column[c] = self.column[c] = k if k < dense else k + 1
-        table = np.zeros((len(goes), width), dtype=np.int64)
+        # One more state: behind a letter that the sample hasn't, where every symbol begins a phrase.
+        behind = len(goes)
+        table = np.zeros((behind + 1, width), dtype=np.int64)
         root = np.zeros(len(ranked) + 1, dtype=np.int64)
         for c, to in goes[0].items():
             root[column[c]] = to * width * 2 + 1
-        root[dense] = 1
         root[root == 0] = 1
+        root[dense] = behind * width * 2 + 1
         table[:] = root[:width]
+        table[0, dense] -= 1
         keys, values = [], []
         self.span = len(ranked) + 1
         for state, out in enumerate(goes):
@@ -166,6 +177,7 @@ class Model:
             self.table[ord(c)] = k + 1
         self.langs = list(sample)
         self.automata = []
+        self.literal = math.log2(max(2, self.n_symbols))
         for text in sample.values():
             symbols, _, _ = self.symbols([text])
             self.automata.append(Automaton(symbols.tolist(), self.n_symbols))
@@ -202,14 +214,16 @@ class Model:
             for k, automaton in enumerate(self.automata):
                 totals[k] = np.bincount(own, weights=automaton.phrases(columns, active), minlength=len(texts))
         out = []
-        weights = np.array([math.log2(a.size) for a in self.automata])
+        largest = max((a.size for a in self.automata), default=2)
+        weights = np.array([math.log2(max(a.size, LEAST_SAMPLE)) + self.literal for a in self.automata])
+        start = np.array([math.log2(largest / a.size) for a in self.automata])
         for i in range(len(texts)):
             if not letters[i] or not self.langs:
                 out.append((UNDETERMINED, 0.0, int(letters[i]), 0))
                 continue
-            cost = totals[:, i] * weights
+            cost = totals[:, i] * weights + start
             first = int(np.argmin(cost))
-            second = float(np.min(np.delete(cost, first))) if len(cost) > 1 else max(cost[first], sizes[i] * math.log2(max(SYMBOLS, self.n_symbols)))
+            second = float(np.min(np.delete(cost, first))) if len(cost) > 1 else max(cost[first], sizes[i] * (weights[0] + start[0]))
             out.append((self.langs[first], max(0.0, min(1.0, 1.0 - float(cost[first]) / second)), int(letters[i]), int(totals[first, i])))
         return out
 
