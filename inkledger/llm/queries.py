@@ -68,7 +68,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
-OP2_SQL = f"WITH {mixing.sql()} SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, kept FROM mixed"
+OP2_SQL = f"WITH RECURSIVE {mixing.sql()} SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, kept FROM mixed"
 
 OP6_SQL = """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w FROM embeddings
 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
