@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,33 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def bounded_batches(spark: SparkSession, records: int = 1000, mb: int = 8) -> None:
-    """Arrow batches of at most so many rows and megabytes, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+#: Rows and megabytes of an Arrow batch at most, the same for all operators: the setting is read when a frame is run, not when it is made.
+BATCH_ROWS, BATCH_MB = 1000, 4
+_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_MB << 20}
+_before: dict[str, str] = {}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size in this session, so that long texts don't fill a worker. Smaller settings stay; cleanup() sets larger ones back."""
+    for name, most in _SETTINGS.items():
+        now = spark.conf.get(name)
+        size = int(re.sub(r"\D", "", now)) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("bB").lower()[-1:], 0)
+        if now.startswith("-") or not 0 < size <= most:
+            _before.setdefault(name, now)
+            spark.conf.set(name, str(most))
+
+
+def portions(batches: Iterator, rows: int, mb: int) -> Iterator:
+    """The batches in parts of at most so many rows and, down to single rows, megabytes."""
+    for batch in batches:
+        left = [batch]
+        while left:
+            part = left.pop()
+            if part.num_rows > 1 and (part.num_rows > rows or part.nbytes > mb << 20):
+                middle = part.num_rows // 2
+                left += [part.slice(middle), part.slice(0, middle)]
+            else:
+                yield part
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +66,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Deletes all tables and shards of this process in the shared folder. Results that read them must be written before."""
+    """Deletes all tables and shards of this process in the shared folder and sets its Arrow settings back. Results that read them must be
+    written before."""
     while _made:
         _delete(spark, _made.pop())
+    while _before:
+        spark.conf.set(*_before.popitem())
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -56,13 +84,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by stored(), once nothing reads it any more."""
-    for file in df.inputFiles()[:1]:
-        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+    """Deletes a table made by stored(), once nothing reads it any more."""
+    _delete(df.sparkSession, df._stored_at)
+    _made.remove(df._stored_at)
+
+
+#: Keys that are broadcast to where their rows are, at most.
+HOT_KEYS = 2000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """rows with the columns of table by key, rows without one left out. table has a row per key, and in `count` at least how many
+    of `total` rows have it.
+
+    Of keys with more than total / HOT_KEYS rows there are fewer than HOT_KEYS, whatever the data: those are broadcast
+    and their rows stay where they are. All others meet by a shuffle, in which no key is large.
+    """
+    keys = [key] if isinstance(key, str) else key
+    often = F.col(count) * HOT_KEYS > total
+    hot, rest = table.where(often), table.where(~often)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, dropped, mix, partitions, prefix_sums, spans, stored, whole
+from .common import U, bounded_batches, dropped, hot_join, mix, partitions, prefix_sums, spans, stored, whole
 
 LENGTH, GRAM = 200, 40
 #: Bytes of stretches in a block.
@@ -129,28 +129,28 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _packed(batches: Iterator) -> Iterator:
-    """Texts as zstd frames: they are shuffled twice."""
+    """Texts as zstd frames: they are read and shuffled several times. `first` tells the first of equal texts of a task."""
     import pyarrow as pa
 
     codec = pa.Codec("zstd", compression_level=1)
+    seen: set[int] = set()
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        sizes = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], names=["doc_id", "key", "size", "packed"])
+        texts, first = batch.column(3).to_pylist(), []
+        for key in batch.column(1).to_pylist():
+            first.append(key not in seen)
+            seen.add(key)
+        columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()), pa.array(first, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "key", "check", "size", "packed", "first"])
 
 
 def _anchored(batches: Iterator) -> Iterator:
-    """The stretches of each distinct text of a task."""
+    """The stretches of each text."""
     import pyarrow as pa
 
-    seen: set[int] = set()
+    codec = pa.Codec("zstd")
     for batch in batches:
-        keys, found = [], []
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key not in seen:
-                seen.add(key)
-                keys.append(key)
-                found.append(stretches(np.frombuffer(data, dtype=np.uint8)))
+        keys, sizes, packed = (c.to_pylist() for c in batch.columns)
+        found = [stretches(np.frombuffer(codec.decompress(p, n, asbytes=True), dtype=np.uint8)) for n, p in zip(sizes, packed, strict=True)]
         if not found:
             continue
         start, windows, anchor, body = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -214,50 +214,64 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lose nothing. Rows of equal text, repeated rows and null ids included, are documents of their own and each the
     repeat of the other. An empty table gives an empty table. Other columns are ignored.
 
-    Texts are known by a 64-bit hash, and equal ones are searched once. Stretches are shuffled as five numbers to find the anchors
-    that occur more than once, and again to meet those; only stretches that are not equal to another as wholes are
-    shuffled with their bytes. An anchor with more of those than a block holds is dealt out to several blocks, whose
-    windows are then counted together by hash, so no anchor's stretches ever meet in one task.
+    Texts are stored once, compressed, and known by 64 bits; should two different ones share them, which a second hash of each tells, all
+    is done again under another seed. Equal texts are searched once. Stretches are stored as five numbers; only those that
+    are not equal to another as wholes are cut out and shuffled with their bytes, of one copy of each text. An anchor with
+    more of those than a block holds is dealt out to several blocks, whose windows are then counted together by hash.
+    Wherever rows meet by anchor, stretch, window or text, the hot ones among these are looked up in place (hot_join), so none
+    of them meets in one task.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark, 1000, 4)
     data = F.encode(whole(text_col), "utf-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(data).alias("key"), data.alias("data"))
+    return _searched(docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")))
+
+
+def _searched(rows: DataFrame, seed: int = 0) -> DataFrame:
+    spark = rows.sparkSession
+    bounded_batches(spark)
     n = partitions(spark)
-    runs = rows.select("key", "data").mapInArrow(_anchored, "key long, start int, windows int, anchor long, body long")
+    hashed = rows.select("doc_id", F.xxhash64(F.lit(2 * seed), "data").alias("key"), F.xxhash64(F.lit(2 * seed + 1), "data").alias("check"), "data")
+    texts = stored(hashed.mapInArrow(_packed, "doc_id long, key long, check long, size long, packed binary, first boolean"), "texts")
+    copies = stored(texts.groupBy("key").agg(F.count("*").alias("copies"), (F.min("check") != F.max("check")).alias("clash")), "copies")
+    if not copies.where("clash").isEmpty():
+        dropped(texts)
+        return _searched(rows, seed + 1)
+    distinct = texts.where("first").select("key", "size", "packed")
+    runs = stored(distinct.mapInArrow(_anchored, "key long, start int, windows int, anchor long, body long"), "runs")
     place = F.xxhash64("key", "start")
-    anchors = runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("body").alias("one"), F.max("body").alias("other"))
-    repeated = stored(anchors.where("low <> high").select("anchor", (F.col("one") != F.col("other")).alias("mixed")), "anchors")
-    hits = runs.join(repeated, "anchor").select("key", "start", "windows", F.when(F.col("mixed"), F.col("anchor")).alias("anchor"), F.when(F.col("mixed"), F.col("body")).alias("body"))
-    hits = stored(hits, "hits")
+    anchors = runs.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("body").alias("one"), F.max("body").alias("other"), F.count("*").alias("n"))
+    repeated = stored(anchors.where("low <> high").select("anchor", (F.col("one") != F.col("other")).alias("mixed"), "n"), "anchors")
+    hits = hot_join(runs, repeated, "anchor", "n", runs.count())
+    hits = stored(hits.select("key", "start", "windows", F.when(F.col("mixed"), F.col("anchor")).alias("anchor"), F.when(F.col("mixed"), F.col("body")).alias("body")), "hits")
     dropped(repeated)
+    dropped(runs)
     span = lambda df: df.select("key", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("windows") - 1 + LENGTH).cast("long").alias("b"))
     # Anchors with one kind of stretch: all of its windows repeat. Else kinds with several places: theirs do.
     mixed = hits.where("anchor IS NOT NULL")
     at = F.struct("key", "start")
-    bodies = stored(mixed.groupBy("anchor", "body").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("windows").alias("windows")), "bodies")
-    several = bodies.where("first <> last").select("anchor", "body")
-    whole_runs = span(hits.where("anchor IS NULL")).unionByName(span(mixed.join(several, ["anchor", "body"])))
+    bodies = stored(mixed.groupBy("anchor", "body").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first("windows").alias("windows"), F.count("*").alias("n")), "bodies")
+    several = bodies.where("first <> last").select("anchor", "body", "n")
+    whole_runs = span(hits.where("anchor IS NULL")).unionByName(span(hot_join(mixed, several, ["anchor", "body"], "n", mixed.count())))
     # The rest is compared by its bytes, with one stretch of each kind of its anchor.
     size = F.col("windows") + LENGTH
-    per_anchor = bodies.groupBy("anchor").agg(F.count_if(F.col("first") == F.col("last")).alias("single"), F.ceil(F.sum(size) / BLOCK).cast("int").alias("parts"))
-    asked = bodies.join(per_anchor.where("single > 0"), "anchor").select(
+    per_anchor = bodies.groupBy("anchor").agg(F.count_if(F.col("first") == F.col("last")).alias("single"), F.ceil(F.sum(size) / BLOCK).cast("int").alias("parts"), F.count("*").alias("kinds"))
+    asked = hot_join(bodies, stored(per_anchor.where("single > 0"), "singles"), "anchor", "kinds", bodies.count()).select(
         F.col("first.key").alias("key"), F.struct(F.col("first.start").alias("start"), "windows", "anchor", "parts", F.pmod(F.xxhash64("body"), "parts").cast("int").alias("part")).alias("x")
     )
     per_text = asked.groupBy("key").agg(F.collect_list("x").alias("asked"))
-    texts = rows.mapInArrow(_packed, "doc_id long, key long, size long, packed binary")
-    bytes_ = texts.select("key", "size", "packed").join(per_text, "key").mapInArrow(_cut, "key long, start int, anchor long, parts int, part int, body binary")
+    one_copy = distinct.groupBy("key").agg(F.first("size").alias("size"), F.first("packed").alias("packed"))
+    bytes_ = one_copy.join(per_text, "key").mapInArrow(_cut, "key long, start int, anchor long, parts int, part int, body binary")
     dealt = bytes_.repartition(4 * n, "anchor", "part").sortWithinPartitions("anchor", "part", "key", "start")
     scanned = stored(dealt.mapInArrow(_scanned, "key long, a long, b long, window long, check long"), "repeats")
     # Anchors in several blocks: windows met in two blocks.
     shared = scanned.where("window IS NOT NULL")
-    met = shared.groupBy("window", "check").agg(F.min(F.struct("key", "a")).alias("low"), F.max(F.struct("key", "a")).alias("high")).where("low <> high").select("window", "check")
-    across = shared.join(met, ["window", "check"]).select("key", "a", "b")
+    met = shared.groupBy("window", "check").agg(F.min(F.struct("key", "a")).alias("low"), F.max(F.struct("key", "a")).alias("high"), F.count("*").alias("n")).where("low <> high")
+    across = hot_join(shared, stored(met.select("window", "check", "n"), "met"), ["window", "check"], "n", shared.count()).select("key", "a", "b")
     found = whole_runs.unionByName(scanned.where("window IS NULL").select("key", "a", "b")).unionByName(across)
     per_key = found.groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("start"), F.col("b").alias("end"))).alias("spans"))
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    known = copies.join(per_key, "key", "left")
-    return texts.join(known, "key").select("doc_id", "size", "packed", "copies", "spans").mapInArrow(_kept, OUT)
+    # A text that occurs more than once goes as a whole, or is too short for a span.
+    known = copies.where("copies = 1").join(per_key, "key", "left").select("key", "copies", "spans")
+    known = stored(known.unionByName(copies.where("copies > 1").select("key", "copies", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))), "spans")
+    return hot_join(texts.drop("check", "first"), known, "key", "copies", texts.count()).select("doc_id", "size", "packed", "copies", "spans").mapInArrow(_kept, OUT)
 
 
 def _scanned(batches: Iterator) -> Iterator:
