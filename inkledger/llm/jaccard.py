@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, mix, partitions, powers, stored, whole
+from .common import U, bounded_batches, hot_join, mix, partitions, portions, powers, stored, whole
 from .components import components
 
 WORDS = 5
@@ -98,15 +98,17 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return full, bounds
 
 
-def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each set, the same for equal sets; 0 for the empty set."""
+def set_keys(values: np.ndarray, bounds: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, the same for equal sets; 0 for the empty set."""
+    values = mix(values + U(seed)) if seed else values
     sums = np.zeros((2, len(values) + 1), dtype=U)
     np.cumsum(mix(values), out=sums[0, 1:])
     np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), out=sums[1, 1:])
     one, two = sums[0, bounds[1:]] - sums[0, bounds[:-1]], sums[1, bounds[1:]] - sums[1, bounds[:-1]]
-    keys = mix(one ^ (two << U(17) | two >> U(47)))
-    keys[bounds[1:] == bounds[:-1]] = 0
-    return keys.view(np.int64)
+    keys, checks = mix(one ^ (two << U(17) | two >> U(47))), mix(one + two * U(0xD6E8FEB86659FD93))
+    empty = bounds[1:] == bounds[:-1]
+    keys[empty] = checks[empty] = 0
+    return keys.view(np.int64), checks.view(np.int64)
 
 
 def _frequent(rows: DataFrame, total: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def _frequent(rows: DataFrame, total: int) -> np.ndarray:
             often = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["s", "n"])
 
-        for batch in batches:
+        for batch in portions(batches, 1000, 2):
             held.append(shingle_sets(batch.column(0))[0])
             size += len(held[-1])
             if size > MESSAGE:
@@ -146,20 +148,30 @@ def _need(n):
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_linked_classes: every document with the smallest id reachable by links.
 
-    Links are exact (up to collisions of 58-bit and longer hashes). Null texts, and texts without words, have an empty
-    set and are linked with nothing. Texts of fewer than WORDS words have one shingle, of all their words. Rows of
-    equal id keep rows of their own. Null ids take part and are named by others' ids. An empty table
-    gives an empty table. Other columns are ignored.
+    Links are exact up to collisions of the shingles' hashes (54 bits and more, all 64 on large tables). Sets are known by 64 bits;
+    should two different ones share them, which a second hash of each tells, the sets are described again under another seed.
+    Null texts, and texts without words, have an empty set and are linked with nothing. Texts of fewer than WORDS words
+    have one shingle, of all their words. Rows of equal id keep rows of their own. Null ids take part and are named by
+    others' ids. An empty table gives an empty table. Other columns are ignored.
 
     Shuffled: 6 bytes per shingle for the counts, then only shingles that occur in several classes, then only the sets
     whose prefix holds such shingles. Hot shingles (of a bounded sample) are not counted but kept with their
     documents. Clusters beyond BLOCK shingles are cut into blocks by size and hash; blocks are matched
     with themselves, then by representatives, then pairwise where they are still unconnected.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark, 1000, 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    frequent = _frequent(rows, rows.count())
+    return _classed(rows).select("doc_id", "n_shingles", "component_id", "n_linked_classes")
+
+
+def _classed(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """linked() of rows of doc_id and text, with label, one for each component, and with the other columns of rows."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    carried = [c for c in rows.columns if c not in ("doc_id", "text")]
+    kinds = dict(rows.dtypes)
+    rows = rows.select("doc_id", "text", *carried)
+    n_rows = rows.count()
+    frequent = _frequent(rows, n_rows)
     by_value = np.argsort(frequent)
     hot = spark.sparkContext.broadcast((frequent[by_value], by_value.astype(np.int64)))
 
@@ -167,26 +179,35 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         import pyarrow as pa
 
         known, rank = hot.value
-        for batch in batches:
+        for batch in portions(batches, 1000, 2):
             values, bounds = shingle_sets(batch.column(1))
             is_hot, where = _member(values, known)
             hot_bounds = np.concatenate(([0], np.cumsum(is_hot)))[bounds]
             ranks = rank[where[is_hot]].astype("<u4")
             blobs = [ranks[hot_bounds[k] : hot_bounds[k + 1]].tobytes() for k in range(len(bounds) - 1)]
+            keys, checks = set_keys(values, bounds, seed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(bounds)), pa.array(set_keys(values, bounds)), pa.array(blobs, pa.binary())],
-                names=["doc_id", "n_shingles", "key", "hot"],
+                [batch.column(0), *batch.columns[2:], pa.array(np.diff(bounds)), pa.array(keys), pa.array(checks), pa.array(blobs, pa.binary())],
+                names=["doc_id", *carried, "n_shingles", "key", "check", "hot"],
             )
 
-    described_docs = stored(rows.mapInArrow(described, "doc_id long, n_shingles long, key long, hot binary"), "sets")
-    classes = described_docs.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("hot").alias("hot"))
+    schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in carried), "n_shingles long, key long, check long, hot binary"])
+    described_docs = stored(rows.mapInArrow(described, schema), "sets")
+    classes = described_docs.where("n_shingles > 0").groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("hot").alias("hot"), F.count("*").alias("copies"), (F.min("check") != F.max("check")).alias("clash")
+    )
+    classes = stored(classes, "classes")
+    if not classes.where("clash").isEmpty():
+        return _classed(rows, seed + 1)
     total = described_docs.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    bucket_bits = min(16, max(6, math.ceil(math.log2(max(1, total / BUCKET)))))
-    groups = 1 << max(5, bucket_bits - 2)
-    shift = U(64 - bucket_bits - BITS)
+    # Buckets and groups grow with the shingles, so what one holds doesn't.
+    bucket_bits = max(6, math.ceil(math.log2(max(1, total / BUCKET))))
+    groups = 1 << max(7, bucket_bits)
+    low_bits = min(BITS, 64 - bucket_bits)
+    shift, low_bytes = U(64 - bucket_bits - low_bits), -(-low_bits // 8)
 
     def dealt(batches: Iterator) -> Iterator:
-        """Packed shingles by bucket: keys of documents, shingles of each, the shingles' lower BITS."""
+        """Packed shingles by bucket: keys of documents, shingles of each, the shingles' lower bits."""
         import pyarrow as pa
 
         known, _ = hot.value
@@ -195,28 +216,28 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         def message():
             tokens, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((tokens, keys, tokens >> U(BITS)))
+            order = np.lexsort((tokens, keys, tokens >> U(low_bits)))
             tokens, keys = tokens[order], keys[order]
-            buckets = (tokens >> U(BITS)).astype(np.int64)
+            buckets = (tokens >> U(low_bits)).astype(np.int64)
             new = np.ones(len(tokens), dtype=bool)
             new[1:] = (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])
             run = np.flatnonzero(new)
             counts = np.diff(np.append(run, len(tokens)))
-            low = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, : BITS // 8])
-            edges = np.searchsorted(buckets[run], np.arange((1 << bucket_bits) + 1))
+            low = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :low_bytes])
+            some, edges = np.unique(buckets[run], return_index=True)
+            spans = _between(edges, len(run))
             at = np.append(run, len(tokens))
-            some = [b for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
             columns = [
-                pa.array(some, pa.int32()),
-                pa.array([keys[run[edges[b] : edges[b + 1]]].tobytes() for b in some], pa.binary()),
-                pa.array([counts[edges[b] : edges[b + 1]].astype("<u4").tobytes() for b in some], pa.binary()),
-                pa.array([low[at[edges[b]] : at[edges[b + 1]]].tobytes() for b in some], pa.binary()),
+                pa.array(some, pa.int64()),
+                pa.array([keys[run[a:b]].tobytes() for a, b in spans], pa.binary()),
+                pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                pa.array([low[at[a] : at[b]].tobytes() for a, b in spans], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in portions(batches, 1000, 2):
             values, bounds = shingle_sets(batch.column(0))
-            keys = np.repeat(set_keys(values, bounds), np.diff(bounds))
+            keys = np.repeat(set_keys(values, bounds, seed)[0], np.diff(bounds))
             rare = ~_member(values, known)[0]
             held.append((values[rare] >> shift, keys[rare]))
             size += len(held[-1][0])
@@ -234,8 +255,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
         keys = np.repeat(read("keys", np.int64), read("counts", "<u4").astype(np.int64))
         tokens = np.zeros((len(keys), 8), dtype=np.uint8)
-        tokens[:, : BITS // 8] = read("shingles", np.uint8).reshape(-1, BITS // 8)
-        tokens = tokens.view(U).ravel()
+        tokens[:, :low_bytes] = read("shingles", np.uint8).reshape(-1, low_bytes)
+        tokens = tokens.view(U).ravel() & U((1 << low_bits) - 1)
         order = np.lexsort((keys, tokens))
         tokens, keys = tokens[order], keys[order]
         new = np.ones(len(tokens), dtype=bool)
@@ -246,18 +267,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         held_by = np.diff(np.append(np.flatnonzero(first), len(tokens)))
         df = np.repeat(held_by, held_by)
         many = df > 1
-        tokens, keys, df = tokens[many] | bucket << U(BITS), keys[many], df[many]
+        tokens, keys, df = tokens[many] | bucket << U(low_bits), keys[many], df[many]
         group = keys % groups
         order = np.argsort(group, kind="stable")
         tokens, keys, df, group = tokens[order], keys[order], df[order], group[order]
-        edges = np.searchsorted(group, np.arange(groups + 1))
-        some = [g for g in range(groups) if edges[g] < edges[g + 1]]
-        part = lambda x, g: x[edges[g] : edges[g + 1]].tobytes()
-        columns = [pa.array(some, pa.int32())] + [pa.array([part(x, g) for g in some], pa.binary()) for x in (keys, tokens, df.astype("<u4"))]
+        some, edges = np.unique(group, return_index=True)
+        spans = _between(edges, len(group))
+        columns = [pa.array(some, pa.int64())] + [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (keys, tokens, df.astype("<u4"))]
         return pa.table(columns, names=["group", "keys", "tokens", "df"])
 
-    messages = rows.select("text").mapInArrow(dealt, "bucket int, keys binary, counts binary, shingles binary")
-    common = messages.groupBy("bucket").applyInArrow(repeated, "group int, keys binary, tokens binary, df binary")
+    messages = rows.select("text").mapInArrow(dealt, "bucket long, keys binary, counts binary, shingles binary")
+    common = messages.groupBy("bucket").applyInArrow(repeated, "group long, keys binary, tokens binary, df binary")
 
     def ordered(classes, common):
         """Sets whose prefix holds shingles of several classes: their common shingles in global order."""
@@ -269,7 +289,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         n = np.asarray(classes.column("n"), dtype=np.int64)
         blobs = classes.column("hot").to_pylist()
         ranks = np.frombuffer(b"".join(blobs), dtype="<u4").astype(U)
-        # Frequent shingles come after all counted ones; their ids can't meet those of counted ones.
+        # Frequent shingles come after all counted ones; their ids don't meet those of counted ones.
         tokens = np.concatenate((tokens, ranks | U(1 << 63)))
         weight = np.concatenate((df, ranks | U(1 << 40)))
         keys = np.concatenate((keys, np.repeat(own, [len(b) // 4 for b in blobs])))
@@ -287,7 +307,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "n", "tokens", "prefix"])
 
-    by_group = F.pmod(F.col("key"), F.lit(groups)).cast("int")
+    by_group = F.pmod(F.col("key"), F.lit(groups)).cast("long")
     sides = classes.withColumn("group", by_group).groupBy("group").cogroup(common.groupBy("group"))
     candidates = stored(sides.applyInArrow(ordered, "key long, n long, tokens binary, prefix array<long>"), "candidates")
 
@@ -296,18 +316,22 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     clusters = stored(components(shared.join(pivots, "token").select("u", F.col("key").alias("v")).where("u <> v"), "clusters"), "clusters")
     members = candidates.drop("prefix").join(clusters.select(F.col("v").alias("key"), F.col("label").alias("cluster")), "key")
     links = _links(spark, stored(members, "members"))
-    labels = components(links, "links")
-    found = stored(labels, "labels")
-    # Each class with the smallest id of its component.
-    named = classes.select("key", "rep").join(found.select(F.col("v").alias("key"), "label"), "key", "left")
-    least = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("size"))
-    named = named.join(least, "label", "left").select("key", F.coalesce("least", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    return described_docs.join(named, "key", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.when(F.col("n_shingles") == 0, F.lit(0)).otherwise(F.col("size")).cast("long").alias("n_linked_classes"),
-    )
+    found = stored(components(links, "links"), "labels")
+    # Each class with the smallest id of its component; most classes are linked with nothing.
+    linked = stored(found.select(F.col("v").alias("key"), "label").join(classes.select("key", "rep", "copies"), "key"), "linked")
+    least = linked.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("size"))
+    linked = hot_join(linked.drop("rep"), stored(least, "least"), "label", "size", linked.count())
+    alone = classes.join(found.select(F.col("v").alias("key")), "key", "left_anti").select(F.col("key").alias("label"), "key", "copies", F.col("rep").alias("component"), F.lit(1).cast("long").alias("size"))
+    named = stored(linked.unionByName(alone), "named")
+    own = described_docs.select("doc_id", *carried, "n_shingles", "key")
+    with_words = hot_join(own.where("n_shingles > 0"), named, "key", "copies", n_rows).drop("copies")
+    without = own.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("size"))
+    return with_words.unionByName(without).withColumnsRenamed({"component": "component_id", "size": "n_linked_classes"})
+
+
+def _between(starts: np.ndarray, end: int) -> list[tuple[int, int]]:
+    """(from, to) of runs by their starts and the end of the last."""
+    return list(zip(starts.tolist(), np.append(starts[1:], end).tolist(), strict=False))
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -500,14 +524,22 @@ def trie_links(tokens: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray |
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of linked documents: that of the smallest id. Columns and their order stay.
+    """docs with one row of each group of linked documents: that of the smallest id. Columns and their order stay.
 
-    Documents without words are linked with nothing and all stay. A document of null id stays only where no linked one has an
-    id. Rows that repeat both id and text count as copies of one document.
+    Documents without words are linked with nothing and all stay. A row of null id stays only where no linked one has an id. Of
+    rows of one id and different texts the one of the smallest hash stays if they are linked; rows that repeat both are
+    copies of one document. Rows are told by id and 128 bits of their text's hash; copies of a row are taken together
+    before the shuffle.
     """
-    found = stored(linked(docs), "linked")
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id"))
-    repeated = kept.groupBy("__kept_id").count().where("count > 1")
-    # The same plan at every size: kept ids grow with the documents, so they are never broadcast.
-    rest = docs.join(kept.distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return rest if repeated.isEmpty() else rest.dropDuplicates(["doc_id", "text"])
+    names = ("doc_id", "text_1", "text_2")
+    identity = [F.col("doc_id").cast("long").alias(names[0]), F.xxhash64("text").alias(names[1]), F.xxhash64(F.lit(17), "text").alias(names[2])]
+    rows = docs.select(*identity, whole("text").alias("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), *names)
+    found = _classed(rows).where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("first"))
+    kept = stored(found.select("first.*").drop("missing"), "kept")
+    word = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    own = docs.where(word).select(F.struct("*").alias("row"), *identity).groupBy(*names).agg(F.first("row").alias("row")).alias("own")
+    same = [F.col(f"own.{n}").eqNullSafe(F.col(f"kept.{n}")) for n in names]
+    # The same plan at every size: kept rows grow with the documents, so they are never broadcast.
+    chosen = own.join(kept.alias("kept").hint("merge"), same, "left_semi").select("row.*")
+    return chosen.unionByName(docs.where(~word))
