@@ -52,8 +52,22 @@ def without_boilerplate(pages: DataFrame, host_col: str = "source", text_col: st
     The boilerplate sets are stored; if they are within BROADCAST_ROWS hosts and lines they are broadcast, else pages are
     joined with them by host and salt, so that no host's pages meet in one task.
     """
+    return _cut(pages.drop("n_lines", "n_dropped"), host_col, text_col, ratio, min_pages).select("page.*", "n_lines", "n_dropped")
+
+
+def cleaned(pages: DataFrame, size_col: str | None = "n_chars", host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages with text_col cut, and size_col, if they have it, that of the text left where lines were dropped; all other columns as they came."""
+    rows = _cut(pages, host_col, text_col, ratio, min_pages)
+    if size_col in pages.columns:
+        kind = pages.schema[size_col].dataType
+        size = F.when(F.col("n_dropped") > 0, F.length(f"page.{text_col}").cast(kind)).otherwise(F.col("page")[size_col])
+        rows = rows.withColumn("page", F.col("page").withField(size_col, size))
+    return rows.select("page.*")
+
+
+def _cut(pages: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
+    """page (a row as it came, but for its text), n_lines, n_dropped."""
     spark = pages.sparkSession
-    pages = pages.drop("n_lines", "n_dropped")
     found = stored(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
     size = found.select(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0)).alias("n")).first()["n"]
     # The row as it came is one column, so that no name in it can meet one of ours.
@@ -70,8 +84,8 @@ def without_boilerplate(pages: DataFrame, host_col: str = "source", text_col: st
     stays = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("lines"), _key(x))
     rows = rows.withColumn("rest", F.when(F.col("lines").isNull(), split).otherwise(F.filter(split, stays)))
     count = lambda x: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long")
-    kept = [F.array_join("rest", "\n").alias(c) if c == text_col else F.col("page")[c].alias(c) for c in pages.columns]
-    return rows.select(*kept, count(split).alias("n_lines"), (count(split) - count(F.col("rest"))).alias("n_dropped"))
+    kept = F.col("page").withField(text_col, F.array_join("rest", "\n"))
+    return rows.select(kept.alias("page"), count(split).alias("n_lines"), (count(split) - count(F.col("rest"))).alias("n_dropped"))
 
 
 def sql(source: str = "documents", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
