@@ -38,36 +38,29 @@ def document_script(text: Column) -> Column:
     return F.when(latin & ~cyrillic, "latin").when(cyrillic & ~latin, "cyrillic").otherwise("undetermined")
 
 
-def _substituted(run: Column, latin_document: bool) -> Column:
-    """Whether a run of letters is Latin, so that look-alikes in it were put there."""
-    own = ~has_any(run, cs.CYRILLIC_EVIDENCE)
-    return own if latin_document else own & matches(run, cs.LATIN_LETTERS)
+def _substituted(run: Column) -> Column:
+    """Whether a run of letters of a document that isn't Latin as a whole is Latin, so that look-alikes in it were put there."""
+    return ~has_any(run, cs.CYRILLIC_EVIDENCE) & matches(run, cs.LATIN_LETTERS)
 
 
-def _by_document(text: Column, made) -> Column:
-    """made(True) for a Latin document, else made(False): the document is looked at once, not once a run."""
-    return F.when(document_script(text) == "latin", made(True)).otherwise(made(False))
+def _attributed(text: Column, of_latin: Column, of_other: Column, none: Column) -> Column:
+    """A Latin document has no letter that only Cyrillic has, so all its look-alikes were put there; others are looked at by runs of letters."""
+    return F.when(has_any(text, cs.CYRILLIC_LOOKALIKES), F.when(document_script(text) == "latin", of_latin).otherwise(of_other)).otherwise(none)
 
 
 def substitutions(text: Column) -> Column:
     """Look-alikes that stand in Latin words."""
     runs = F.regexp_extract_all(text, F.lit(f"{ALPHABETIC}+"), F.lit(0))
-
-    def made(latin: bool) -> Column:
-        return count_of(F.array_join(F.filter(runs, lambda r: _substituted(r, latin)), ""), cs.CYRILLIC_LOOKALIKES)
-
-    return F.when(has_any(text, cs.CYRILLIC_LOOKALIKES), _by_document(text, made)).otherwise(F.lit(0).cast("long"))
+    found = count_of(F.array_join(F.filter(runs, _substituted), ""), cs.CYRILLIC_LOOKALIKES)
+    return _attributed(text, count_of(text, cs.CYRILLIC_LOOKALIKES), found, F.lit(0).cast("long"))
 
 
 def restored(text: Column) -> Column:
     """The text with attributed look-alikes turned back."""
     runs = F.regexp_extract_all(text, F.lit(f"{ALPHABETIC}+|[^{ALPHABETIC}]+"), F.lit(0))
-
-    def made(latin: bool) -> Column:
-        back = lambda r: F.when(has_any(r, cs.CYRILLIC_LOOKALIKES) & _substituted(r, latin), F.translate(r, cs.CYRILLIC_LOOKALIKES, cs.LATIN_LOOKALIKES)).otherwise(r)
-        return F.array_join(F.transform(runs, back), "")
-
-    return F.when(has_any(text, cs.CYRILLIC_LOOKALIKES), _by_document(text, made)).otherwise(text)
+    plain = lambda t: F.translate(t, cs.CYRILLIC_LOOKALIKES, cs.LATIN_LOOKALIKES)
+    back = F.transform(runs, lambda r: F.when(has_any(r, cs.CYRILLIC_LOOKALIKES) & _substituted(r), plain(r)).otherwise(r))
+    return _attributed(text, plain(text), F.array_join(back, ""), text)
 
 
 def positions(text: Column) -> Column:

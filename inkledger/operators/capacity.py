@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
 from ..functions import text as tx
+from .regions import opened, slots
 
 # Bytes of a light frame's header, and of the envelope around a secret without its length.
 HEADER, SALTED_HEADER, ENVELOPE = 8, 24, 13
 
 
-def boundary_slots(text: Column) -> Column:
-    """Gaps between characters, ends included, that aren't inside a word; controls don't count. For texts without protected regions."""
-    s = tx.without(text, cs.CONTROL)
-    words = F.regexp_count(s, F.lit("[\\p{IsAlphabetic}\\p{N}_]+"))
-    inside = F.length(F.regexp_replace(s, "[^\\p{IsAlphabetic}\\p{N}_]", ""))
-    return (F.length(s) + 1 - inside + words).cast("long")
-
-
 def carrier_positions(slots: Column, letters: Column) -> Column:
     """(carrier, positions) of the four carriers."""
     whole = F.when(slots < 8, F.lit(0).cast("long")).otherwise(F.floor((slots + 1) / 9) * 8)
@@ -34,9 +27,12 @@ def envelope_bytes(secret: Column) -> Column:
 
 
 def capacities(docs: DataFrame, column: str = "cover") -> DataFrame:
-    """doc_id, carrier, positions, raw_bytes, framed_bytes, secret_bytes, overhead_bytes: one row per document and carrier."""
-    t = F.col(column)
-    rows = docs.select("doc_id", boundary_slots(t).alias("slots"), tx.count_of(t, cs.LATIN_LOOKALIKES).alias("letters"))
+    """doc_id, carrier, positions, raw_bytes, framed_bytes, secret_bytes, overhead_bytes: one row per document and carrier.
+
+    Positions in protected regions are none.
+    """
+    open_ = opened(docs.select("doc_id", F.col(column).alias("cover")), "cover")
+    rows = open_.select("doc_id", slots(F.col("open")).alias("slots"), tx.count_of(F.col("open"), cs.LATIN_LOOKALIKES).alias("letters"))
     rows = rows.select("doc_id", F.inline(carrier_positions(F.col("slots"), F.col("letters"))))
     raw = F.floor(F.col("positions") / 8)
     rows = rows.withColumn("raw_bytes", raw).withColumn("framed_bytes", F.greatest(raw - HEADER, F.lit(0)))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import charsets as cs
 from ..functions import text as tx
 from ..operators import forensic as fo
-from ..sources.tables import MARKED_SQL, marked, read
+from ..operators.regions import opened, regions_sql
+from ..sources.tables import MARKED_SQL, marked, read, spread
 from .query import query
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The marked view. A table of one file is dealt over all tasks; others are read as they lie."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return marked(docs.repartition(spark.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs)
+    """The marked view, over all cores."""
+    return marked(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
 
 
 def sql_count(text: str, characters: str) -> str:
@@ -170,15 +170,16 @@ def summary(spark, sf_dir):
 def _sql_bits(carrier: str) -> str:
     if carrier == "homoglyph":
         both = cs.LATIN_LOOKALIKES + _LOOK
-        return f"translate(regexp_replace(marked, '[^{both}]', '', 'g'), '{both}', '{'0' * 24 + '1' * 24}')"
+        return f"translate(regexp_replace(open, '[^{both}]', '', 'g'), '{both}', '{'0' * 24 + '1' * 24}')"
     zero, one, *_ = cs.CARRIERS[carrier]
     return f"translate(regexp_replace(marked, '[^{zero}{one}]', '', 'g'), '{zero}{one}', '01')"
 
 
-@query(f"WITH {MARKED_SQL} SELECT doc_id, " + ", ".join(f"CAST(length({_sql_bits(c)}) AS BIGINT) AS {c}_n, md5({_sql_bits(c)}) AS {c}_md5" for c in fo.CARRIER_IDS) + " FROM marked")
+@query(f"WITH RECURSIVE {MARKED_SQL}, {regions_sql('marked')} SELECT doc_id, " + ", ".join(f"CAST(length({_sql_bits(c)}) AS BIGINT) AS {c}_n, md5({_sql_bits(c)}) AS {c}_md5" for c in fo.CARRIER_IDS) + " FROM opened")
 def read_bits(spark, sf_dir):
-    both = [(c, tx.bits(F.col("marked"), c)) for c in fo.CARRIER_IDS]
-    return view(spark, sf_dir).select("doc_id", *[x for c, b in both for x in (F.length(b).cast("long").alias(f"{c}_n"), F.md5(b).alias(f"{c}_md5"))])
+    """The bits of all carriers; look-alike letters of protected regions are none."""
+    both = [(c, tx.bits(F.col("open" if c == "homoglyph" else "marked"), c)) for c in fo.CARRIER_IDS]
+    return opened(view(spark, sf_dir).select("doc_id", "marked"), "marked").select("doc_id", *[x for c, b in both for x in (F.length(b).cast("long").alias(f"{c}_n"), F.md5(b).alias(f"{c}_md5"))])
 
 
 @query(f"WITH {REPORT_SQL} SELECT doc_id, c AS carrier, n AS bits, CASE WHEN n = 0 THEN 'no_marks' WHEN n % 8 <> 0 THEN 'partial_byte' END AS refusal, CASE WHEN n % 8 = 0 THEN CAST(n // 8 AS BIGINT) ELSE 0 END AS bytes FROM (SELECT doc_id, unnest(['zero_width', 'whitespace_var', 'bidi']) AS c, CAST(unnest([zero_width_bits, whitespace_var_bits, bidi_bits]) AS BIGINT) AS n FROM reported)")

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import wordmark as wm
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .query import query
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.repartition(spark.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs
+    return spread(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def with_synonyms(docs: DataFrame) -> DataFrame:

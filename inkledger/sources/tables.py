@@ -10,6 +10,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their scan fills fewer tasks, as a table of one row group does; larger tables as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 #: A sentence of another script, for genuine mixing.
 CYRILLIC_SENTENCE = " Это обычный русский текст для проверки."
 
