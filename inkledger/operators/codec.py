@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -180,6 +181,11 @@ def protected(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_LOOKALIKE = re.compile(f"[{cs.LATIN_LOOKALIKES}{cs.CYRILLIC_LOOKALIKES}]")
+_TWIN = dict(zip(cs.LATIN_LOOKALIKES, cs.CYRILLIC_LOOKALIKES, strict=True))
+_BIT = str.maketrans(cs.LATIN_LOOKALIKES + cs.CYRILLIC_LOOKALIKES, "0" * len(cs.LATIN_LOOKALIKES) + "1" * len(cs.CYRILLIC_LOOKALIKES))
+
+
 def slots(text: str) -> list[int]:
     """Gaps where a character may be inserted: not inside a word, and not in or at a protected region."""
     word = [c.isalnum() or c == "_" for c in text]
@@ -209,30 +215,32 @@ def write_bits(text: str, bits: str, carrier: str) -> str:
     return "".join(out) + text[last:] + "".join(marks[len(free) :])
 
 
+def _letters(text: str) -> list[int]:
+    """Where look-alike letters of either script stand outside code and maths."""
+    out, at = [], 0
+    for low, high, _ in [*protected(text), (len(text), len(text), "")]:
+        out += [m.start() for m in _LOOKALIKE.finditer(text, at, low)]
+        at = high
+    return out
+
+
 def write_letters(text: str, bits: str) -> str:
     """The text with the bits in its look-alike letters outside code and maths."""
-    if any(c in cs.CYRILLIC_LOOKALIKES for c in text):
+    if any(c in text for c in cs.CYRILLIC_LOOKALIKES):
         raise ValueError("occupied")
-    shut = [False] * len(text)
-    for low, high, _ in protected(text):
-        shut[low:high] = [True] * (high - low)
-    twin = dict(zip(cs.LATIN_LOOKALIKES, cs.CYRILLIC_LOOKALIKES, strict=True))
-    out, k = list(text), 0
-    for at, c in enumerate(text):
-        if c in twin and not shut[at] and k < len(bits):
-            out[at] = twin[c] if bits[k] == "1" else c
-            k += 1
-    if k < len(bits):
+    places = _letters(text)
+    if len(places) < len(bits):
         raise ValueError("too_small")
+    out = list(text)
+    for at, bit in zip(places, bits, strict=False):
+        if bit == "1":
+            out[at] = _TWIN[out[at]]
     return "".join(out)
 
 
 def read_bits(text: str, carrier: str) -> str:
     if carrier == "homoglyph":
-        shut = [False] * len(text)
-        for low, high, _ in protected(text):
-            shut[low:high] = [True] * (high - low)
-        return "".join("0" if c in cs.LATIN_LOOKALIKES else "1" for at, c in enumerate(text) if not shut[at] and c in cs.LATIN_LOOKALIKES + cs.CYRILLIC_LOOKALIKES)
+        return "".join([text[at] for at in _letters(text)]).translate(_BIT)
     zero, one, *_ = cs.CARRIERS[carrier]
     return "".join("1" if c == one else "0" for c in text if c in (zero, one))
 
@@ -324,35 +332,42 @@ def round_trips(docs: DataFrame) -> DataFrame:
 
 
 def excerpts(docs: DataFrame) -> DataFrame:
-    """doc_id, copies, ok: a saturated text, its first third cut away, still gives the secret back if two frames' bits are left. Texts
-    with protected regions are not judged: a cut can open or close one."""
+    """doc_id, carrier, copies, ok: a saturated text, its first third cut away, still gives the secret back if two frames' bits are left.
+
+    Of look-alike letters, cuts that open or close a protected region aren't judged: other letters are read then.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 secret = f"s{doc_id}".encode()
-                try:
-                    marked = encode(text, secret, ("homoglyph",), repeat=True)
-                except ValueError as why:
-                    out.append((doc_id, 0, None if refusal(why) else False))
-                    continue
                 size = len(to_bits(frame(envelope([("crc32", b"")], secret + _crc32(secret)))))
-                copies = len(read_bits(text, "homoglyph")) // size
-                rest = marked[len(marked) // 3 :]
-                left = copies * size - len(read_bits(marked[: len(marked) // 3], "homoglyph"))
-                try:
-                    ok = decode(rest, ("homoglyph",))[0] == secret
-                except ValueError:
-                    ok = False
-                out.append((doc_id, copies, ok if left >= 2 * size and not protected(text) else None))
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "copies", "ok"])
-
-    return docs.select("doc_id", "cover").mapInArrow(run, "doc_id long, copies long, ok boolean")
+                for carrier in ("whitespace_var", "bidi", "homoglyph"):
+                    try:
+                        marked = encode(text, secret, (carrier,), repeat=True)
+                    except ValueError as why:
+                        out.append((doc_id, carrier, 0, None if refusal(why) else False))
+                        continue
+                    cut = len(marked) // 3
+                    whole, gone, rest = (read_bits(t, carrier) for t in (marked, marked[:cut], marked[cut:]))
+                    copies = len(whole) // size
+                    left = copies * size - len(gone)
+                    if left < 2 * size or (carrier == "homoglyph" and gone + rest != whole):
+                        out.append((doc_id, carrier, copies, None))
+                        continue
+                    try:
+                        ok = decode(marked[cut:], (carrier,))[0] == secret
+                    except ValueError:
+                        ok = False
+                    out.append((doc_id, carrier, copies, ok))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "carrier", "copies", "ok"])
+
+    return docs.select("doc_id", "cover").mapInArrow(run, "doc_id long, carrier string, copies long, ok boolean")
 
 
 # ---- reflow ------------------------------------------------------------------------------------------------------

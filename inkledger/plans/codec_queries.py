@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from ..operators import codec, heavy, sealing
 from .forensic_queries import view
 from .query import query
-from .wordmark_queries import plain
+from .wordmark_queries import PLAIN_SQL, plain
 
 
-@query("SELECT doc_id, lower(printf('%08X', crc)) AS crc32_hex FROM (SELECT doc_id, 0 AS crc FROM documents WHERE coalesce(text, '') = '') UNION ALL SELECT doc_id, 'set' FROM documents WHERE coalesce(text, '') <> ''")
-def checksums(spark, sf_dir):
-    value = F.when(F.col("text") == "", F.lower(F.lpad(F.hex(F.crc32("text")), 8, "0"))).otherwise("set")
-    return plain(spark, sf_dir).select("doc_id", value.alias("crc32_hex"))
+# Checksums byte by byte in SQL: a table of all bytes from the polynomial, then a fold over the text's bytes.
+_CRC_SQL = """t AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for n in range(256)] AS t32,
+[list_reduce([n << 8, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c >= 32768 THEN xor((c << 1) & 65535, 4129) ELSE c << 1 END) for n in range(256)] AS t16),
+b AS (SELECT doc_id, [CAST(instr('0123456789ABCDEF', p[1]) * 16 + instr('0123456789ABCDEF', p[2]) - 17 AS BIGINT) for p in regexp_extract_all(hex(encode(text)), '..')] AS data FROM docs)"""
 
 
-@query()
-def document_checksums(spark, sf_dir):
-    """CRC-32 and CRC-16 of every whole text, which the SQL of checksums can't tell."""
+@query(f"""WITH {PLAIN_SQL}, {_CRC_SQL} SELECT doc_id, printf('%08x', xor(list_reduce(list_prepend(4294967295, data), lambda c, x: xor(c >> 8, t32[(xor(c, x) & 255) + 1])), 4294967295)) AS crc32_hex,
+printf('%04x', list_reduce(list_prepend(65535, data), lambda c, x: xor((c << 8) & 65535, t16[xor(c >> 8, x) + 1]))) AS crc16_hex FROM b, t""")
+def checksums(spark, sf_dir):
+    """CRC-32 and CRC-16 of every whole text."""
     return codec.checksums(plain(spark, sf_dir))
 
 
@@ -35,10 +36,11 @@ def carrier_round_trip_failures(spark, sf_dir):
     return rows.agg(bad.alias("failures"), (F.count_if(F.col("refusal").isNull()) > 0).alias("some_written"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS failures")
+@query("SELECT unnest(['whitespace_var', 'bidi', 'homoglyph']) AS carrier, CAST(0 AS BIGINT) AS failures, TRUE AS a_tenth_judged")
 def excerpt_recovery_failures(spark, sf_dir):
-    """Saturated copies with a third cut away, of texts with room for four frames and more."""
-    return codec.excerpts(view(spark, sf_dir)).agg(F.count_if(F.col("ok") == F.lit(False)).alias("failures"))
+    """Saturated copies with a third cut away, by each carrier that repeats; failures among those whose rest must do, a tenth of all at least."""
+    rows = codec.excerpts(view(spark, sf_dir)).groupBy("carrier")
+    return rows.agg(F.count_if(F.col("ok") == F.lit(False)).alias("failures"), (10 * F.count("ok") >= F.count("*")).alias("a_tenth_judged"))
 
 
 @query("SELECT doc_id, CAST(strlen(coalesce(text, '')) + 28 AS BIGINT) AS sealed_bytes, TRUE AS ok, TRUE AS other_key_refused FROM documents")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import functions as F
@@ -79,15 +81,16 @@ def html_markdown(spark, sf_dir):
     return fl.extracted(pages)
 
 
-#: Formats that files are made in for the import queries, and what the document's first line becomes.
+#: Formats that files are made in for the import queries.
 MADE = ("txt", "md", "html", "csv", "eml", "ipynb", "rtf", "tex", "org", "rst", "wiki", "adoc", "typ", "bib", "fb2", "docx", "odt", "pptx", "epub", "py")
 
 
 def _made(kind: str, line: str) -> bytes:
+    """A file of a whole text, as a writer of the format makes it."""
     x = entities.escape(line, quote=False)
     plainly = {
         "txt": line, "md": line, "html": f"<html><head><title>t</title></head><body><p>{x}</p></body></html>", "csv": f'k,v\n1,"{line.replace(chr(34), chr(34) * 2)}"\n', "eml": f"From: a@example.com\nSubject: s\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n{line}\n",
-        "ipynb": json.dumps({"cells": [{"cell_type": "markdown", "source": [line]}]}), "tex": f"\\begin{{document}}\n{line}\n\\end{{document}}", "org": f"* Head :tag:\n{line}\n", "rst": f"Head\n====\n\n{line}\n", "wiki": f"== Head ==\n{line}\n",
+        "ipynb": json.dumps({"cells": [{"cell_type": "markdown", "source": [line]}]}), "tex": markup.exported(line, "tex"), "org": f"* Head :tag:\n{line}\n", "rst": f"Head\n====\n\n{line}\n", "wiki": f"== Head ==\n{line}\n",
         "adoc": f"= Head\n\n{line}\n", "typ": f"#set page(width: 1pt)\n= Head\n{line}\n", "bib": f"@article{{k, title = {{{line}}}, author = {{A and B}}, year = 2020}}", "fb2": f"<FictionBook><body><section><title><p>Head</p></title><p>{x}</p></section></body></FictionBook>", "py": line,
     }
     if kind in plainly:
@@ -109,102 +112,97 @@ def _made(kind: str, line: str) -> bytes:
     })
 
 
-def _lines(spark, sf_dir):
-    """doc_id and the letters, digits and blanks of each document's first line, which no format treats specially."""
-    line = F.trim(F.regexp_replace(F.regexp_replace(F.split("text", "\n")[0], "[^\\p{L}\\p{N} ]", ""), " +", " "))
-    return plain(spark, sf_dir).select("doc_id", line.alias("line"))
+WORD = re.compile(r"[^\W_]+")
+_WORDS_SQL = "CAST(len(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS BIGINT)"
 
 
-def _written(spark, sf_dir):
-    """doc_id, line, path, content: a file of one of the MADE formats for each document."""
-
-    def write(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            kinds = [MADE[d % len(MADE)] for d in batch.column(0).to_pylist()]
-            data = [_made(k, line) for k, line in zip(kinds, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"f.{k}" for k in kinds]), pa.array(data, pa.binary())], names=["doc_id", "line", "path", "content"])
-
-    return _lines(spark, sf_dir).mapInArrow(write, "doc_id long, line string, path string, content binary")
+def _found(text: str, back: str) -> int:
+    """How many different words of a text another one has."""
+    return len(set(WORD.findall(text)) & set(WORD.findall(back)))
 
 
+_FORMAT_SQL = "CASE e WHEN 'tex' THEN 'latex' WHEN 'typ' THEN 'typst' WHEN 'bib' THEN 'bibtex' WHEN 'py' THEN 'code' ELSE e END"
 _MADE_SQL = "['" + "', '".join(MADE) + "']"
-_LINE_SQL = "trim(regexp_replace(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[^\\p{L}\\p{N} ]', '', 'g'), ' +', ' ', 'g'))"
 
 
-@query(f"WITH l AS (SELECT doc_id, {_LINE_SQL} AS line, {_MADE_SQL}[doc_id % {len(MADE)} + 1] AS e FROM documents) SELECT doc_id, CASE e WHEN 'tex' THEN 'latex' WHEN 'typ' THEN 'typst' WHEN 'bib' THEN 'bibtex' WHEN 'py' THEN 'code' ELSE e END AS format, CASE WHEN line = '' AND e IN ('txt', 'md', 'html', 'ipynb', 'rtf', 'tex', 'epub') THEN 'refused' ELSE 'found' END AS outcome FROM l")
+@query(f"WITH {PLAIN_SQL}, l AS (SELECT doc_id, text, unnest({_MADE_SQL}) AS e FROM docs) SELECT doc_id, {_FORMAT_SQL} AS format, CASE WHEN regexp_matches(text, '^[\\s]*$') AND e IN ('txt', 'md', 'html', 'ipynb', 'rtf', 'tex', 'epub') THEN 'empty_text' END AS refusal, {_WORDS_SQL} AS words_found FROM l")
 def file_import(spark, sf_dir):
-    """Each document's first line, written in one of 20 formats and imported again."""
+    """Each whole text, written in each of 20 formats and imported again, and how many of its different words come back."""
 
     def outcome(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            said = []
-            for line, path, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                extension = path.rsplit(".", 1)[1]
-                kind = "code" if extension in fl.CODE else fl.FORMATS[extension]
-                try:
-                    said.append((kind, "found" if line in fl.text_of(data, kind, "python") else "lost"))
-                except ValueError:
-                    said.append((kind, "refused"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.string())], names=["doc_id", "format", "outcome"])
+            out = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for made in MADE:
+                    kind = "code" if made in fl.CODE else fl.FORMATS[made]
+                    try:
+                        out.append((doc_id, kind, None, _found(text, fl.text_of(_made(made, text), kind, "python"))))
+                    except ValueError as why:
+                        out.append((doc_id, kind, str(why), 0))
+            yield _batch(out, "doc_id format refusal words_found", (pa.int64(), pa.string(), pa.string(), pa.int64()))
+
+    return plain(spark, sf_dir).mapInArrow(outcome, "doc_id long, format string, refusal string, words_found long")
 
-    return _written(spark, sf_dir).mapInArrow(outcome, "doc_id long, format string, outcome string")
+
+def _batch(rows: list[tuple], names: str, kinds: tuple):
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names.split())
 
 
 _TO = ("md", "txt", "html", "tex", "rtf", "org", "rst", "adoc", "ipynb", "typst")
 _BACK = {"html": "html", "tex": "latex", "rtf": "rtf", "org": "org", "rst": "rst", "adoc": "adoc", "ipynb": "ipynb", "typst": "typst", "md": "md", "txt": "txt"}
 
 
-@query(f"SELECT doc_id, t AS target, TRUE AS kept FROM documents, (SELECT unnest(['{chr(39).join(_TO).replace(chr(39), chr(39) + ', ' + chr(39))}']) AS t)")
+_TO_SQL = "['" + "', '".join(_TO) + "']"
+
+
+@query(f"WITH {PLAIN_SQL}, l AS (SELECT doc_id, text, unnest({_TO_SQL}) AS t FROM docs) SELECT doc_id, t AS target, TRUE AS heading_kept, {_WORDS_SQL} AS words_found FROM l")
 def file_export(spark, sf_dir):
-    """A heading and each document's first line, exported to every target and imported again."""
+    """A heading and each whole text, exported to every target and imported again, and how many of its different words come back."""
 
     def export(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for doc_id, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for to in _TO:
-                    text = f"# Head\n\n{line}\n"
-                    back = markup.IMPORTERS[_BACK[to]](markup.exported(text, to))
-                    out.append((doc_id, to, line in back and "Head" in back))
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["doc_id", "target", "kept"])
+                    back = markup.IMPORTERS[_BACK[to]](markup.exported(f"# Head\n\n{text}\n", to))
+                    out.append((doc_id, to, "Head" in back, _found(text, back)))
+            yield _batch(out, "doc_id target heading_kept words_found", (pa.int64(), pa.string(), pa.bool_(), pa.int64()))
 
-    return _lines(spark, sf_dir).mapInArrow(export, "doc_id long, target string, kept boolean")
+    return plain(spark, sf_dir).mapInArrow(export, "doc_id long, target string, heading_kept boolean, words_found long")
 
 
-@query("SELECT doc_id, TRUE AS recovered, TRUE AS stripped, TRUE AS text_same, TRUE AS written_back FROM documents")
+@query(f"WITH {PLAIN_SQL} SELECT doc_id, k AS kind, md5(text) AS recovered_md5, TRUE AS stripped, TRUE AS text_same, CASE WHEN k IN ('docx', 'odt') THEN contains(text, 'a') END AS written_back FROM docs, (SELECT unnest(['docx', 'odt', 'png', 'svg']) AS k)")
 def file_metadata(spark, sf_dir):
-    """A payload into and out of docx, odt, png and svg metadata, stripped again; office text rewritten in place."""
+    """Each whole text as a payload into and out of docx, odt, png and svg metadata, stripped again; office text rewritten in place."""
 
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = ("docx", "odt", "png", "svg")
         for batch in batches:
             out = []
-            for doc_id, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind, payload = kinds[doc_id % 4], line.encode()
-                image = fl._png([(b"IHDR", bytes(13)), (b"IDAT", payload), (b"IEND", b"")]) if kind == "png" else f"<svg><text>{line}</text></svg>".encode()
-                data = _made(kind, line) if kind in ("docx", "odt") else image
-                full = fl.embed(data, kind, payload)
-                bare = fl.stripped(full, kind)
-                office = kind in ("docx", "odt")
-                same = fl.text_of(bare, kind) == fl.text_of(data, kind) if office else bare == data
-                back = True
-                if office:
-                    try:
-                        fl.rewritten(data, kind, lambda t: t.translate({ord("a"): "а"}))
-                    except ValueError:
-                        back = False
-                out.append((doc_id, fl.recover(full, kind) == payload, fl.recover(bare, kind) is None and (not office or not fl.properties(bare, kind)), same, back))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] + [pa.bool_()] * 4, strict=True)], names=["doc_id", "recovered", "stripped", "text_same", "written_back"])
-
-    return _lines(spark, sf_dir).mapInArrow(check, "doc_id long, recovered boolean, stripped boolean, text_same boolean, written_back boolean")
-
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = text.encode()
+                for kind in ("docx", "odt", "png", "svg"):
+                    office = kind in ("docx", "odt")
+                    image = fl._png([(b"IHDR", bytes(13)), (b"IDAT", payload), (b"IEND", b"")]) if kind == "png" else f"<svg><text>{entities.escape(text, quote=False)}</text></svg>".encode()
+                    data = _made(kind, text) if office else image
+                    full = fl.embed(data, kind, payload)
+                    bare = fl.stripped(full, kind)
+                    same = fl.text_of(bare, kind) == fl.text_of(data, kind) if office else bare == data
+                    back = None
+                    if office:
+                        changed = fl.rewritten(data, kind, lambda t: t.translate({ord("a"): "а"}))
+                        back = "а" in fl.text_of(changed, kind).replace("Heаd", "")
+                    found = fl.recover(full, kind)
+                    gone = fl.recover(bare, kind) is None and (not office or not fl.properties(bare, kind))
+                    out.append((doc_id, kind, None if found is None else hashlib.md5(found).hexdigest(), gone, same, back))
+            yield _batch(out, "doc_id kind recovered_md5 stripped text_same written_back", (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()))
+
+    return plain(spark, sf_dir).mapInArrow(check, "doc_id long, kind string, recovered_md5 string, stripped boolean, text_same boolean, written_back boolean")
