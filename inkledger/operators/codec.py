@@ -1,9 +1,8 @@
-"""Sequential codecs in Arrow batches: checksums, frames, envelopes, placement, protected regions, reflow."""
+"""Sequential codecs in Arrow batches: checksums, frames, envelopes, placement, protected regions."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -370,44 +369,6 @@ def excerpts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "cover").mapInArrow(run, "doc_id long, carrier string, copies long, ok boolean")
 
 
-# ---- reflow ------------------------------------------------------------------------------------------------------
-
-
-def wrapped(text: str, width: int = 80) -> list[int]:
-    """Visible characters before each break of a greedy wrap; controls take no room, wide characters take two."""
-    breaks, column, seen, last_seen, last_column = [], 0, 0, None, 0
-    for c in text:
-        if c in cs.CONTROL:
-            continue
-        if c == "\n":
-            column, last_seen = 0, None
-            seen += 1
-            continue
-        column += 2 if unicodedata.east_asian_width(c) in "WF" else 1
-        seen += 1
-        if c == " ":
-            last_seen, last_column = seen, column
-        if column > width and last_seen is not None:
-            breaks.append(last_seen)
-            column, last_seen = column - last_column, None
-    return breaks
-
-
-def reflowed(pairs: DataFrame) -> DataFrame:
-    """doc_id, cover_breaks, moved: breaks of a greedy wrap, and how many are not the same in the copy."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            covers, copies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            both = [(wrapped(a), wrapped(b)) for a, b in zip(covers, copies, strict=True)]
-            columns = [pa.array([len(a) for a, _ in both], pa.int64()), pa.array([len(set(a) ^ set(b)) for a, b in both], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "cover_breaks", "moved"])
-
-    return pairs.select("doc_id", "cover", "marked").mapInArrow(run, "doc_id long, cover_breaks long, moved long")
-
-
 def regions(docs: DataFrame) -> DataFrame:
     """doc_id, regions as (start, end, kind), and marks in code: controls of the copy inside fences and code spans."""
 

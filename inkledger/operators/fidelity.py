@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
@@ -29,64 +31,69 @@ def aligned(pairs: DataFrame) -> DataFrame:
 
 
 def marks(pairs: DataFrame) -> DataFrame:
-    """doc_id, n, k, i, x, character: every mark in order, with its place x in the cover; n is the cover's length and k the number of marks.
+    """doc_id, n, k, places, characters, width, window, window_at: the marks of each copy in order, with their places in the cover.
 
-    Windows are over one document's marks.
+    n is the cover's length, k the number of marks; window is the most marks in a window of width places, from window_at on. Row by row
+    in one Arrow pass: nothing is shuffled, and rows of one id stay apart. Copies without marks are left out.
     """
-    sound = aligned(pairs).where("failure IS NULL AND insertions + substitutions > 0")
-    chars = sound.select("doc_id", "n", F.posexplode(F.split("marked", "")).alias("pos", "character"))
-    found = chars.where(F.contains(F.lit(cs.CONTROL + cs.CYRILLIC_LOOKALIKES), F.col("character")) & (F.col("character") != ""))
-    own = Window.partitionBy("doc_id").orderBy("pos")
-    inserted = F.contains(F.lit(cs.CONTROL), F.col("character")).cast("long")
-    before = F.coalesce(F.sum(inserted).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = found.select("doc_id", "n", "character", "pos", (F.col("pos") - before).alias("x"), F.row_number().over(own).cast("long").alias("i"))
-    return rows.withColumn("k", F.count("*").over(Window.partitionBy("doc_id"))).drop("pos")
+    sound = aligned(pairs).where("failure IS NULL AND insertions + substitutions > 0").select("doc_id", "n", "marked")
+
+    def found(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        controls, marked = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+        controls[[ord(c) for c in cs.CONTROL]] = True
+        marked[[ord(c) for c in cs.CONTROL + cs.CYRILLIC_LOOKALIKES]] = True
+        names = ("doc_id", "n", "k", "places", "characters", "width", "window", "window_at")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
+        for batch in batches:
+            rows = []
+            for doc_id, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                at = np.flatnonzero(marked[codes])
+                inserted = controls[codes[at]]
+                places = at - (np.cumsum(inserted) - inserted)
+                width = min(max(n // 10, 32), n)
+                within = np.searchsorted(places, places + width) - np.searchsorted(places, places)
+                best = int(within.argmax()) if len(within) else 0
+                rows.append((doc_id, n, len(places), places.tolist(), [chr(c) for c in codes[at].tolist()], width, int(within.max(initial=0)), int(places[best]) if len(places) else 0))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+
+    return sound.mapInArrow(found, "doc_id long, n long, k long, places array<long>, characters array<string>, width long, window long, window_at long").where("k > 0")
+
+
+def _summed(values, of=lambda v: v):
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + of(v))
 
 
 def distribution(marked: DataFrame) -> DataFrame:
-    """doc_id, k, ks, critical, uniform, verdict, gap_mean, gap_sd, gap_cv, gap_deviation: uniformity of the marks' places."""
-    rank, x, n, k = F.col("i"), F.col("x"), F.col("n"), F.col("k")
-    gap = x - F.lag("x").over(Window.partitionBy("doc_id").orderBy("i"))
-    d = F.greatest(rank / k - (x + 1) / n, (x + 1) / n - (rank - 1) / k)
-    rows = marked.where(k >= LEAST_MARKS).withColumn("gap", gap).withColumn("d", d)
-    found = rows.groupBy("doc_id", "k", "n").agg(
-        F.greatest(F.max("d"), F.lit(0.0)).alias("ks"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("gap_sd"), F.avg(F.abs(F.col("gap") - F.col("n") / F.col("k"))).alias("dev")
-    )
-    found = found.withColumn("critical", 1.36 / F.sqrt("k")).withColumn("uniform", F.col("ks") <= F.col("critical"))
+    """doc_id, k, ks, critical, uniform, verdict, gap_mean, gap_sd, gap_cv, gap_deviation: uniformity of the marks' places. A projection."""
+    n, k = F.col("n"), F.col("k")
+    apart = lambda x, i: F.greatest((i + 1) / k - (x + 1) / n, (x + 1) / n - i / k)
+    gaps = F.zip_with(F.slice("places", F.lit(2), (k - 1).cast("int")), F.slice("places", F.lit(1), (k - 1).cast("int")), lambda b, a: (b - a).cast("double"))
+    rows = marked.where(k >= LEAST_MARKS).select("doc_id", "n", "k", F.greatest(F.array_max(F.transform("places", apart)), F.lit(0.0)).alias("ks"), gaps.alias("gaps"))
+    rows = rows.withColumn("gap_mean", _summed("gaps") / (k - 1))
+    rows = rows.withColumn("gap_sd", F.sqrt(_summed("gaps", lambda g: (g - F.col("gap_mean")) * (g - F.col("gap_mean"))) / (k - 1))).withColumn("dev", _summed("gaps", lambda g: F.abs(g - n / k)) / (k - 1))
+    rows = rows.withColumn("critical", 1.36 / F.sqrt("k")).withColumn("uniform", F.col("ks") <= F.col("critical"))
     verdict = F.when(F.col("uniform"), "clean").when(F.col("ks") >= 0.5, "conspicuous").otherwise("degraded")
-    return found.select(
-        "doc_id", "k", "ks", "critical", "uniform", verdict.alias("verdict"), "gap_mean", "gap_sd", tx.share(F.col("gap_sd"), F.col("gap_mean")).alias("gap_cv"), (F.col("dev") / (F.col("n") / F.col("k"))).alias("gap_deviation")
-    )
+    return rows.select("doc_id", "k", "ks", "critical", "uniform", verdict.alias("verdict"), "gap_mean", "gap_sd", tx.share(F.col("gap_sd"), F.col("gap_mean")).alias("gap_cv"), (F.col("dev") / (n / k)).alias("gap_deviation"))
 
 
 def largest_gap(marked: DataFrame) -> DataFrame:
     """doc_id, positions, starts_at: the longest run without a mark; the first of the longest."""
-    own = Window.partitionBy("doc_id").orderBy("i")
-    before = F.lag("x").over(own)
-    first = F.struct(F.col("x").alias("positions"), F.lit(0).cast("long").alias("starts_at"))
-    inner = F.struct(F.greatest(F.col("x") - before - 1, F.lit(0)).alias("positions"), (before + 1).alias("starts_at"))
-    last = F.struct(F.greatest(F.col("n") - F.col("x") - 1, F.lit(0)).alias("positions"), (F.col("x") + 1).alias("starts_at"))
-    runs = marked.select("doc_id", F.when(F.col("i") == 1, first).otherwise(inner).alias("a"), F.when(F.col("i") == F.col("k"), last).alias("b"))
-    runs = runs.select("doc_id", F.explode(F.array("a", "b")).alias("run")).where("run IS NOT NULL")
-    best = runs.groupBy("doc_id").agg(F.max_by("run", F.struct("run.positions", -F.col("run.starts_at"))).alias("run"))
-    return best.select("doc_id", "run.positions", "run.starts_at")
+    run = lambda positions, start: F.struct(positions.cast("long").alias("positions"), (-start).cast("long").alias("minus"))
+    before = F.concat(F.array(F.lit(-1).cast("long")), "places")
+    after = F.concat("places", F.array("n"))
+    best = F.array_max(F.zip_with(before, after, lambda a, b: run(F.greatest(b - a - 1, F.lit(0)), a + 1)))
+    return marked.select("doc_id", best.alias("run")).select("doc_id", "run.positions", (-F.col("run.minus")).alias("starts_at"))
 
 
 def densest_window(marked: DataFrame) -> DataFrame:
     """doc_id, width, most, starts_at: the window of a tenth of the cover, 32 at least, with the most marks; reported if 1.5 times what is expected."""
-    width = F.least(F.greatest(F.floor(F.col("n") / 10), F.lit(32)), F.col("n"))
-    rows = marked.where(F.col("k") >= LEAST_MARKS).withColumn("width", width)
-    ends = rows.select("doc_id", "n", "k", "width", F.col("x").alias("at"), F.lit(1).alias("opens")).unionByName(
-        rows.select("doc_id", "n", "k", "width", (F.col("x") + F.col("width")).alias("at"), F.lit(0).alias("opens"))
-    )
-    # Marks before `at`: the marks in [x, x + width) are those before its end less those before its start.
-    before = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    counted = ends.withColumn("seen", F.coalesce(F.sum("opens").over(before), F.lit(0)))
-    start = F.when(F.col("opens") == 1, F.col("at")).otherwise(F.col("at") - F.col("width"))
-    pairs = counted.groupBy("doc_id", "n", "k", "width", start.alias("starts_at")).agg((F.max(F.when(F.col("opens") == 0, F.col("seen"))) - F.min(F.when(F.col("opens") == 1, F.col("seen")))).alias("m"))
-    best = pairs.groupBy("doc_id", "n", "k", "width").agg(F.max("m").alias("most"), F.max_by("starts_at", F.struct("m", -F.col("starts_at"))).alias("starts_at"))
-    expected = F.col("k") * F.col("width") / F.col("n")
-    return best.where(F.col("most") > 1.5 * expected).select("doc_id", F.col("width").cast("long").alias("width"), F.col("most").cast("long").alias("most"), "starts_at")
+    dense = (F.col("k") >= LEAST_MARKS) & (F.col("window") > 1.5 * (F.col("k") * F.col("width") / F.col("n")))
+    return marked.where(dense).select("doc_id", "width", F.col("window").alias("most"), F.col("window_at").alias("starts_at"))
 
 
 def density(pairs: DataFrame) -> DataFrame:
@@ -100,19 +107,29 @@ def density(pairs: DataFrame) -> DataFrame:
 
 
 def audit(marked: DataFrame) -> DataFrame:
-    """doc_id, codepoint, n, first_at: the code points a copy added. Counts are summed in the tasks first."""
-    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.expr("ascii(character)")), 4, "0"))
-    return marked.groupBy("doc_id", code.alias("codepoint")).agg(F.count("*").alias("n"), F.min("x").alias("first_at"))
+    """doc_id, codepoint, n, first_at: the code points a copy added, in each row of it. In the row, without a shuffle."""
+    pairs = F.arrays_zip("characters", "places")
+    each = F.transform(
+        F.array_distinct("characters"),
+        lambda c: F.struct(F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0")).alias("codepoint"), F.size(F.filter("characters", lambda x: x == c)).cast("long").alias("n"), F.get(F.filter(pairs, lambda p: p["characters"] == c), F.lit(0))["places"].alias("first_at")),
+    )
+    return marked.select("doc_id", F.inline(each))
 
 
-def word_selection(pairs: DataFrame) -> DataFrame:
-    """doc_id, words, broken, mixed, verdict: words with a control inside, and words with look-alikes put in."""
-    rows = aligned(pairs).where("failure IS NULL")
+def _words():
+    """Words of the cover, words of the copy with a control inside, and words of it with look-alikes put in."""
     words = F.regexp_count("cover", F.lit(f"{WORD}+"))
     # A word of the copy may hold controls between word characters.
     broken = F.regexp_count("marked", F.lit(f"{WORD}+(?:[{cs.CONTROL}]+{WORD}+)+"))
     runs = F.regexp_extract_all(F.translate("marked", cs.CONTROL, ""), F.lit(f"{WORD}+"), F.lit(0))
     mixed = F.when(F.col("substitutions") > 0, F.size(F.filter(runs, lambda w: tx.matches(w, cs.CYRILLIC_LOOKALIKES)))).otherwise(F.lit(0))
+    return words, broken, mixed
+
+
+def word_selection(pairs: DataFrame) -> DataFrame:
+    """doc_id, words, broken, mixed, verdict: words with a control inside, and words with look-alikes put in."""
+    rows = aligned(pairs).where("failure IS NULL")
+    words, broken, mixed = _words()
     verdict = F.when(broken > 0, "conspicuous").when(mixed > 0, "degraded").otherwise("clean")
     return rows.select("doc_id", words.cast("long").alias("words"), broken.cast("long").alias("broken"), mixed.cast("long").alias("mixed"), verdict.alias("verdict"))
 
@@ -121,10 +138,10 @@ def word_selection(pairs: DataFrame) -> DataFrame:
 OPENERS = {"‪": "‬", "‫": "‬", "‭": "‬", "‮": "‬", "⁦": "⁩", "⁧": "⁩", "⁨": "⁩"}
 
 
-def bidi_balance(pairs: DataFrame) -> DataFrame:
-    """doc_id, added_unclosed, added_orphans: direction scopes that a copy leaves open, and closings without one.
+def _scopes():
+    """Direction scopes that a copy leaves open, and closings without one, beyond its cover's.
 
-    A fold over the copy's direction controls alone. A closing ends the last scope of its kind, and those inside.
+    A fold over the direction controls alone. A closing ends the last scope of its kind, and those inside.
     """
     controls = "".join(OPENERS) + "‬⁩"
 
@@ -143,45 +160,67 @@ def bidi_balance(pairs: DataFrame) -> DataFrame:
 
         return F.aggregate(marks, start, step)
 
-    rows = aligned(pairs).where("failure IS NULL").select("doc_id", folded("cover").alias("a"), folded("marked").alias("b"))
-    unclosed = F.greatest(F.length("b.open") - F.length("a.open"), F.lit(0))
-    orphans = F.greatest(F.col("b.orphans") - F.col("a.orphans"), F.lit(0))
-    verdict = F.when(unclosed > 0, "conspicuous").when(orphans > 0, "degraded").otherwise("clean")
-    return rows.select("doc_id", unclosed.cast("long").alias("added_unclosed"), orphans.cast("long").alias("added_orphans"), verdict.alias("verdict"))
+    before, after = folded("cover"), folded("marked")
+    return F.greatest(F.length(after["open"]) - F.length(before["open"]), F.lit(0)), F.greatest(after["orphans"] - before["orphans"], F.lit(0))
+
+
+def bidi_balance(pairs: DataFrame) -> DataFrame:
+    """doc_id, added_unclosed, added_orphans, verdict: direction scopes that a copy leaves open, and closings without one."""
+    unclosed, orphans = _scopes()
+    rows = aligned(pairs).where("failure IS NULL").select("doc_id", unclosed.alias("unclosed"), orphans.alias("orphans"))
+    verdict = F.when(F.col("unclosed") > 0, "conspicuous").when(F.col("orphans") > 0, "degraded").otherwise("clean")
+    return rows.select("doc_id", F.col("unclosed").cast("long").alias("added_unclosed"), F.col("orphans").cast("long").alias("added_orphans"), verdict.alias("verdict"))
 
 
 # Risks of a reader's finding, by check and verdict.
 RISKS = {"reflow": {"conspicuous": 1.0, "degraded": 0.4}, "bidi_balance": {"conspicuous": 1.0, "degraded": 0.45}, "word_selection": {"degraded": 0.4}, "paste_safety": {"conspicuous": 1.0}}
 
 
-def assessed(pairs: DataFrame) -> DataFrame:
-    """doc_id, reader_verdict, reader_risk, worst_check, analyst_exposure, not_run: all checks of a copy, rolled up.
+def assessed(pairs: DataFrame, mission: str = "conceal") -> DataFrame:
+    """doc_id, reader_verdict, reader_risk, worst_check, analyst_exposure, analyst_risk, not_run: all checks of a copy, rolled up.
 
-    A copy that can't be paired with its cover has no check that ran, and an indeterminate verdict. The largest risk counts, not a mean.
+    pairs: doc_id, cover, marked. The four checks of a reader and the three of an analyst (distribution, density, code points) stand side by
+    side in one row: nothing is joined or shuffled, and rows of one id stay apart. A copy that can't be paired with its cover has no
+    check that ran; a distribution can't be judged by fewer than LEAST_MARKS marks, nor a density without a place. With a check that
+    didn't run the reader's verdict is indeterminate. The largest risk counts, not a mean.
     """
-    from . import codec
-
-    base = aligned(pairs).select("doc_id", "failure", (F.col("insertions") + F.col("substitutions") > 0).alias("marked_at_all"))
-    reflow = codec.reflowed(pairs).select("doc_id", F.when(F.col("moved") > 0, "conspicuous").otherwise("clean").alias("reflow"))
-    paste = codec.regions(pairs).select("doc_id", F.when(F.col("marks_in_code") > 0, "conspicuous").otherwise("clean").alias("paste_safety"))
-    bidi = bidi_balance(pairs).select("doc_id", F.col("verdict").alias("bidi_balance"))
-    words = word_selection(pairs).select("doc_id", F.col("verdict").alias("word_selection"), (0.5 + 0.5 * F.when(F.col("words") > 0, F.col("broken") / F.col("words")).otherwise(0.0)).alias("word_risk"))
-    rows = base.join(reflow, "doc_id", "left").join(paste, "doc_id", "left").join(bidi, "doc_id", "left").join(words, "doc_id", "left")
+    from . import reflow
+
+    rows = reflow.laid_out(aligned(pairs).select("doc_id", "cover", "marked", "n", "failure", "insertions", "substitutions"))
+    (unclosed, orphans), (words, broken, mixed) = _scopes(), _words()
+    rows = rows.select("*", unclosed.alias("unclosed"), orphans.alias("orphans"), words.alias("words"), broken.alias("broken"), mixed.alias("mixed"), (F.col("insertions") + F.col("substitutions")).alias("m"))
+    paired, m, n = F.col("failure").isNull(), F.col("m"), F.col("n")
+    graded = lambda worst, bad: F.when(paired, F.when(worst, "conspicuous").when(bad, "degraded").otherwise("clean"))
+    ceiling = dict(cs.MISSIONS)[mission]
+    rows = rows.withColumns({
+        "reflow": graded(F.col("moved") > 0, F.col("gained") + F.col("lost") > 0), "bidi_balance": graded(F.col("unclosed") > 0, F.col("orphans") > 0),
+        "word_selection": graded(F.col("broken") > 0, F.col("mixed") > 0), "paste_safety": graded(F.col("marks_in_code") > 0, F.lit(False)),
+        "ks": F.when(paired & (m >= LEAST_MARKS), F.col("spread")),
+        "fill": F.when(paired & (n > 0) & (m <= n), m / n),
+    })
+    word_risk = 0.5 + 0.5 * F.when(F.col("words") > 0, F.col("broken") / F.col("words")).otherwise(0.0)
 
     def risk(check: str):
         r = F.lit(0.0)
         for verdict, value in RISKS[check].items():
             r = F.when(F.col(check) == verdict, F.lit(value)).otherwise(r)
-        return F.when((F.lit(check) == "word_selection") & (F.col(check) == "conspicuous"), F.col("word_risk")).otherwise(r)
-
-    each = F.array(*[F.struct(risk(c).alias("risk"), F.lit(c).alias("check"), F.col(c).alias("verdict")) for c in RISKS])
-    ran = F.filter(each, lambda x: x["verdict"].isNotNull() & F.col("failure").isNull())
-    rows = rows.withColumn("ran", ran).withColumn("worst", F.array_max("ran"))
-    rank = F.aggregate("ran", F.lit(0), lambda a, x: F.greatest(a, F.when(x["verdict"] == "conspicuous", 2).when(x["verdict"] == "degraded", 1).otherwise(0)))
-    verdict = F.when(F.col("failure").isNotNull(), "indeterminate").when(rank == 2, "conspicuous").when(rank == 1, "degraded").otherwise("clean")
-    exposure = F.when(F.col("failure").isNotNull(), "indeterminate").when(F.col("marked_at_all"), "exposed").otherwise("not_exposed")
-    names = F.array(*[F.lit(c) for c in RISKS])
+        return F.when(F.col(check) == "conspicuous", word_risk).otherwise(r) if check == "word_selection" else r
+
+    each = F.array(*[F.struct(risk(c).alias("risk"), F.lit(-k).alias("order"), F.lit(c).alias("check")) for k, c in enumerate(RISKS)])
+    rank = F.greatest(*[F.when(F.col(c) == "conspicuous", 2).when(F.col(c) == "degraded", 1).otherwise(0) for c in RISKS])
+    absent = {**{c: ~paired for c in RISKS}, "distribution": F.col("ks").isNull(), "density": F.col("fill").isNull(), "codepoint_audit": ~paired}
+    not_run = F.array_compact(F.array(*[F.when(gone, F.lit(c)) for c, gone in absent.items()]))
+    exposure = F.when(~paired, "indeterminate").when(m > 0, "exposed").otherwise("not_exposed")
+    uneven = F.when(F.col("ks") > 1.36 / F.sqrt(m), F.least(F.col("ks"), F.lit(1.0))).otherwise(0.0)
+    over = F.when(F.col("fill") > ceiling, F.least((F.col("fill") - ceiling) / (1 - ceiling), F.lit(1.0))).otherwise(0.0)
+    rows = rows.withColumn("worst", F.array_max(each)).withColumn("not_run", not_run)
+    verdict = F.when(F.size("not_run") > 0, "indeterminate").when(rank == 2, "conspicuous").when(rank == 1, "degraded").otherwise("clean")
     return rows.select(
-        "doc_id", verdict.alias("reader_verdict"), F.coalesce("worst.risk", F.lit(0.0)).alias("reader_risk"), F.when(F.col("worst.risk") > 0, F.col("worst.check")).alias("worst_check"),
-        exposure.alias("analyst_exposure"), F.when(F.col("failure").isNotNull(), names).otherwise(F.array().cast("array<string>")).alias("not_run"),
+        "doc_id", verdict.alias("reader_verdict"), F.when(paired, F.col("worst.risk")).otherwise(0.0).alias("reader_risk"), F.when(paired & (F.col("worst.risk") > 0), F.col("worst.check")).alias("worst_check"),
+        exposure.alias("analyst_exposure"), F.when(paired, F.greatest(F.when(m > 0, 1.0).otherwise(0.0), uneven, over)).otherwise(0.0).alias("analyst_risk"), "not_run",
     )
+
+
+def baseline(texts: DataFrame, column: str = "marked", mission: str = "conceal") -> DataFrame:
+    """assessed() of each text against itself without its controls: what it shows before anything is added. Put-in letters can't be seen."""
+    return assessed(texts.select("doc_id", tx.without(F.col(column), cs.CONTROL).alias("cover"), F.col(column).alias("marked")), mission)

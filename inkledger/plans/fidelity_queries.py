@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
-from ..operators import codec
+from ..operators import codec, reflow
 from ..operators import fidelity as fi
+from ..operators.regions import regions_sql
 from ..sources.tables import MARKED_SQL
 from .forensic_queries import _rounds, rounds, sql_count, view
 from .query import query
@@ -89,17 +90,28 @@ def fidelity_bidi_balance(spark, sf_dir):
 
 @query()
 def fidelity_reflow(spark, sf_dir):
-    """Line breaks at 80 columns in cover and copy, and how many moved."""
-    return codec.reflowed(view(spark, sf_dir))
+    """Line breaks at 80 columns in cover and copy, how many moved, and break opportunities gained and lost."""
+    rows = reflow.laid_out(fi.aligned(view(spark, sf_dir)).where("failure IS NULL").select("doc_id", "cover", "marked"))
+    return rows.select("doc_id", "cover_breaks", "moved", "gained", "lost")
 
 
-@query()
+_HELD = f"CASE WHEN substr(marked, lows[i], 1) IN ('`', '~') THEN {sql_count('substr(marked, lows[i], highs[i] - lows[i])', cs.CONTROL)} ELSE 0 END"
+
+
+@query(f"WITH RECURSIVE {MARKED_SQL}, {regions_sql('marked')} SELECT m.doc_id, CAST(coalesce(len(lows), 0) AS BIGINT) AS n_regions, CAST(coalesce(list_sum([highs[i] - lows[i] for i in range(1, len(lows) + 1)]), 0) AS BIGINT) AS covered, CAST(coalesce(list_sum([{_HELD.replace('marked', 'r.marked')} for i in range(1, len(lows) + 1)]), 0) AS BIGINT) AS marks_in_code FROM marked m LEFT JOIN regions r ON m.doc_id = r.doc_id")
 def protected_regions(spark, sf_dir):
-    """Fences, code spans and maths of every text, and marks that fell inside code."""
-    return codec.regions(view(spark, sf_dir))
+    """Fences, code spans and maths of every text, the characters they cover, and marks that fell inside code."""
+    covered = F.aggregate("regions", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return codec.regions(view(spark, sf_dir)).select("doc_id", F.size("regions").cast("long").alias("n_regions"), covered.alias("covered"), "marks_in_code")
 
 
 @query()
 def fidelity_assess(spark, sf_dir):
     """The roll-up: what a reader and what an analyst may notice, with the checks that could not run."""
     return fi.assessed(view(spark, sf_dir))
+
+
+@query()
+def fidelity_baseline(spark, sf_dir):
+    """The roll-up of every marked text against itself without its controls."""
+    return fi.baseline(view(spark, sf_dir))

@@ -87,8 +87,8 @@ def shannon_entropy(spark, sf_dir):
 
 @query(f"WITH {REPORT_SQL}, {HISTOGRAM_SQL}, {ENTROPY_SQL} SELECT doc_id, {longs('total bytes')}, {rounds('entropy noise_density homoglyph_density')} FROM reported JOIN entropies USING (doc_id)")
 def measure_text(spark, sf_dir):
-    docs = view(spark, sf_dir)
-    return fo.reported(docs).join(fo.entropy(docs), "doc_id").select("doc_id", "total", "bytes", *_rounds("entropy noise_density homoglyph_density"))
+    docs = fo.with_entropy(view(spark, sf_dir), {"entropy": "marked"})
+    return fo.reported(docs).select("doc_id", "total", "bytes", *_rounds("entropy noise_density homoglyph_density"))
 
 
 @query(
@@ -97,8 +97,7 @@ before AS (SELECT m.doc_id, coalesce(log2(s) - w / s, 0.0) AS e0 FROM marked m L
 SELECT doc_id, round(entropy - e0, 6) AS entropy_delta, round(noise_density + homoglyph_density, 6) AS density, round((noise_density + homoglyph_density) * 10, 6) AS perplexity_delta, 0.0::DOUBLE AS survival FROM reported JOIN entropies USING (doc_id) JOIN before USING (doc_id)"""
 )
 def metrics_delta(spark, sf_dir):
-    docs = view(spark, sf_dir)
-    after = fo.reported(docs).join(fo.entropy(docs), "doc_id").join(fo.entropy(docs, "cover").withColumnRenamed("entropy", "e0"), "doc_id")
+    after = fo.reported(fo.with_entropy(view(spark, sf_dir), {"entropy": "marked", "e0": "cover"}))
     density = F.col("noise_density") + F.col("homoglyph_density")
     return after.select("doc_id", tx.rounded(F.col("entropy") - F.col("e0")).alias("entropy_delta"), tx.rounded(density).alias("density"), tx.rounded(density * 10).alias("perplexity_delta"), F.lit(0.0).alias("survival"))
 
