@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .functions import charsets as cs
-from .operators import canary, capacity, clean, codec, fidelity, forensic, provenance, wordmark
+from .operators import canary, capacity, clean, codec, conceal, fidelity, file_commands, forensic, heavy, licenses, provenance, reflow, regions, sealing, wordmark
 from .sources import files
 
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
@@ -30,6 +30,32 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "roundtrip_check": codec.round_trips,
     "protected_regions": codec.regions,
     "file_extract": files.extracted,
+    "conceal": conceal.conceal,
+    "reveal": conceal.reveal,
+    "inspect": conceal.shapes,
+    "fidelity_assess": fidelity.assessed,
+    "fidelity_baseline": fidelity.baseline,
+    "fidelity_distribution": fidelity.distribution,
+    "fidelity_density": fidelity.density,
+    "fidelity_word_selection": fidelity.word_selection,
+    "fidelity_bidi_balance": fidelity.bidi_balance,
+    "fidelity_audit": fidelity.audit,
+    "fidelity_reflow": reflow.laid_out,
+    "open_regions": regions.opened,
+    "checksums": codec.checksums,
+    "excerpts": codec.excerpts,
+    "recoverable_frames": heavy.round_trips,
+    "sign_documents": sealing.signatures,
+    "sign_claims": sealing.claims,
+    "license_sign_verify": licenses.licensed,
+    "claim_bindings": licenses.bound,
+    "clean_file": file_commands.clean,
+    "pristine_file": file_commands.pristine,
+    "strip_file": file_commands.strip,
+    "inspect_file": file_commands.inspect,
+    "analyze_file": file_commands.analyze,
+    "conceal_file": file_commands.conceal,
+    "convert_file": file_commands.convert,
 }
 
 #: Carriers in canonical order; only the last rewrites visible text.

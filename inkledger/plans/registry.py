@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canary_queries, clean_queries, codec_queries, fidelity_queries, file_queries, forensic_queries, wordmark_queries  # noqa: F401
+from . import canary_queries, clean_queries, codec_queries, command_queries, fidelity_queries, file_queries, forensic_queries, wordmark_queries  # noqa: F401
 from .query import ORACLES, QUERIES, Query
 
 
