@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -56,24 +58,41 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_made: list[str] = []
+#: Paths made, in order, each with its number and the thread that made it.
+_made: dict[str, tuple[int, int]] = {}
+_count = itertools.count()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; cleanup() deletes what was put there."""
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = next(_count), threading.get_ident()
+    return path
 
 
 def cleanup(spark: SparkSession) -> None:
     """Deletes all tables and shards of this process in the shared folder and sets its Arrow settings back. Results that read them must be
     written before."""
     while _made:
-        _delete(spark, _made.pop())
+        _delete(spark, _made.popitem()[0])
     while _before:
         spark.conf.set(*_before.popitem())
 
 
+def made_so_far() -> int:
+    """A mark in the order in which tables are put into the shared folder; see sweep()."""
+    return next(_count)
+
+
+def sweep(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Deletes the tables that this thread made since the mark, but for those kept, which results not yet written still read."""
+    stay = {table._stored_at for table in kept}
+    for path, (number, thread) in list(_made.items()):
+        if number > since and thread == threading.get_ident() and path not in stay:
+            del _made[path]
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -92,7 +111,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by stored(), once nothing reads it any more."""
     _delete(df.sparkSession, df._stored_at)
-    _made.remove(df._stored_at)
+    _made.pop(df._stored_at, None)
 
 
 #: Keys that are broadcast to where their rows are, at most.

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, hot_join, mix, partitions, portions, powers, stored, whole
+from .common import U, bounded_batches, hot_join, made_so_far, mix, partitions, portions, powers, stored, sweep, whole
 from .components import components
 
 WORDS = 5
@@ -29,7 +29,7 @@ THRESHOLD = 80
 #: workers (at most the sample's shingles / SAMPLE_LEAST); any choice gives the same links.
 SAMPLE_DOCS, SAMPLE_LEAST = 8000, 16
 #: Shingles per bucket when they are counted, per message of a task, and per block of a cluster.
-BUCKET, MESSAGE, BLOCK = 1_000_000, 1_000_000, 1_000_000
+BUCKET, MESSAGE, BLOCK = 250_000, 1_000_000, 1_000_000
 #: Bits of a shingle that identify it within its bucket.
 BITS = 48
 _STEPS = [U(pow(0xA24BAED4963EE407, k + 1, 1 << 64)) for k in range(WORDS)]
@@ -167,6 +167,7 @@ def _classed(rows: DataFrame, seed: int = 0) -> DataFrame:
     """linked() of rows of doc_id and text, with label, one for each component, and with the other columns of rows."""
     spark = rows.sparkSession
     bounded_batches(spark)
+    since = made_so_far()
     carried = [c for c in rows.columns if c not in ("doc_id", "text")]
     kinds = dict(rows.dtypes)
     rows = rows.select("doc_id", "text", *carried)
@@ -198,11 +199,13 @@ def _classed(rows: DataFrame, seed: int = 0) -> DataFrame:
     )
     classes = stored(classes, "classes")
     if not classes.where("clash").isEmpty():
+        sweep(spark, since)
         return _classed(rows, seed + 1)
     total = described_docs.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    # Buckets and groups grow with the shingles, so what one holds doesn't.
+    # Buckets, groups and the tasks they are dealt to grow with the shingles, so what one holds doesn't.
     bucket_bits = max(6, math.ceil(math.log2(max(1, total / BUCKET))))
-    groups = 1 << max(7, bucket_bits)
+    groups = 1 << max(6, bucket_bits - 1)
+    tasks = max(partitions(spark), (1 << bucket_bits) // 4)
     low_bits = min(BITS, 64 - bucket_bits)
     shift, low_bytes = U(64 - bucket_bits - low_bits), -(-low_bits // 8)
 
@@ -277,7 +280,7 @@ def _classed(rows: DataFrame, seed: int = 0) -> DataFrame:
         return pa.table(columns, names=["group", "keys", "tokens", "df"])
 
     messages = rows.select("text").mapInArrow(dealt, "bucket long, keys binary, counts binary, shingles binary")
-    common = messages.groupBy("bucket").applyInArrow(repeated, "group long, keys binary, tokens binary, df binary")
+    common = messages.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, "group long, keys binary, tokens binary, df binary")
 
     def ordered(classes, common):
         """Sets whose prefix holds shingles of several classes: their common shingles in global order."""
@@ -308,7 +311,7 @@ def _classed(rows: DataFrame, seed: int = 0) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "n", "tokens", "prefix"])
 
     by_group = F.pmod(F.col("key"), F.lit(groups)).cast("long")
-    sides = classes.withColumn("group", by_group).groupBy("group").cogroup(common.groupBy("group"))
+    sides = classes.withColumn("group", by_group).repartition(tasks, "group").groupBy("group").cogroup(common.repartition(tasks, "group").groupBy("group"))
     candidates = stored(sides.applyInArrow(ordered, "key long, n long, tokens binary, prefix array<long>"), "candidates")
 
     shared = candidates.select("key", F.explode("prefix").alias("token"))
@@ -323,6 +326,7 @@ def _classed(rows: DataFrame, seed: int = 0) -> DataFrame:
     linked = hot_join(linked.drop("rep"), stored(least, "least"), "label", "size", linked.count())
     alone = classes.join(found.select(F.col("v").alias("key")), "key", "left_anti").select(F.col("key").alias("label"), "key", "copies", F.col("rep").alias("component"), F.lit(1).cast("long").alias("size"))
     named = stored(linked.unionByName(alone), "named")
+    sweep(spark, since, described_docs, named)
     own = described_docs.select("doc_id", *carried, "n_shingles", "key")
     with_words = hot_join(own.where("n_shingles > 0"), named, "key", "copies", n_rows).drop("copies")
     without = own.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("size"))
@@ -531,12 +535,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     copies of one document. Rows are told by id and 128 bits of their text's hash; copies of a row are taken together
     before the shuffle.
     """
+    since = made_so_far()
     names = ("doc_id", "text_1", "text_2")
     identity = [F.col("doc_id").cast("long").alias(names[0]), F.xxhash64("text").alias(names[1]), F.xxhash64(F.lit(17), "text").alias(names[2])]
     rows = docs.select(*identity, whole("text").alias("text"))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), *names)
     found = _classed(rows).where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("first"))
     kept = stored(found.select("first.*").drop("missing"), "kept")
+    sweep(docs.sparkSession, since, kept)
     word = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     own = docs.where(word).select(F.struct("*").alias("row"), *identity).groupBy(*names).agg(F.first("row").alias("row")).alias("own")
     same = [F.col(f"own.{n}").eqNullSafe(F.col(f"kept.{n}")) for n in names]

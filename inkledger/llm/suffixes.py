@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, dropped, hot_join, mix, partitions, prefix_sums, spans, stored, whole
+from .common import U, bounded_batches, dropped, hot_join, made_so_far, mix, partitions, prefix_sums, spans, stored, sweep, whole
 
 LENGTH, GRAM = 200, 40
 #: Bytes of stretches in a block.
@@ -228,12 +228,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _searched(rows: DataFrame, seed: int = 0) -> DataFrame:
     spark = rows.sparkSession
     bounded_batches(spark)
-    n = partitions(spark)
+    since, n = made_so_far(), partitions(spark)
     hashed = rows.select("doc_id", F.xxhash64(F.lit(2 * seed), "data").alias("key"), F.xxhash64(F.lit(2 * seed + 1), "data").alias("check"), "data")
     texts = stored(hashed.mapInArrow(_packed, "doc_id long, key long, check long, size long, packed binary, first boolean"), "texts")
     copies = stored(texts.groupBy("key").agg(F.count("*").alias("copies"), (F.min("check") != F.max("check")).alias("clash")), "copies")
     if not copies.where("clash").isEmpty():
-        dropped(texts)
+        sweep(spark, since)
         return _searched(rows, seed + 1)
     distinct = texts.where("first").select("key", "size", "packed")
     runs = stored(distinct.mapInArrow(_anchored, "key long, start int, windows int, anchor long, body long"), "runs")
@@ -271,6 +271,7 @@ def _searched(rows: DataFrame, seed: int = 0) -> DataFrame:
     # A text that occurs more than once goes as a whole, or is too short for a span.
     known = copies.where("copies = 1").join(per_key, "key", "left").select("key", "copies", "spans")
     known = stored(known.unionByName(copies.where("copies > 1").select("key", "copies", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"))), "spans")
+    sweep(spark, since, texts, known)
     return hot_join(texts.drop("check", "first"), known, "key", "copies", texts.count()).select("doc_id", "size", "packed", "copies", "spans").mapInArrow(_kept, OUT)
 
 

@@ -56,10 +56,21 @@ def test_sets_whose_hashes_meet_are_described_again(spark, monkeypatch):
     assert sorted(map(str, jaccard.linked(docs).collect())) == want
 
 
-@pytest.mark.parametrize("bucket", [1_000_000, 40, 2])
+@pytest.mark.parametrize("bucket", [1_000_000, 40, 8])
 def test_buckets_of_any_number(spark, bucket, monkeypatch):
     rows = [(k, " ".join(str(x) for x in range(k % 20 * 50, k % 20 * 50 + 40)) + f" {k}") for k in range(60)]
     docs = spark.createDataFrame(rows, DOCS)
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
     got = jaccard.linked(docs).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: k % 20 for k in range(60)}
+
+
+def test_only_what_the_result_reads_is_left(spark):
+    from pathlib import Path
+
+    rows = [(k, f"{A} {k % 7}") for k in range(40)]
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    got = jaccard.linked(spark.createDataFrame(rows, DOCS))
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["named", "sets"]
+    assert got.count() == len(rows)
