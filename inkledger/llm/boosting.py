@@ -19,32 +19,31 @@ class Boosted:
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
         n, width = x.shape
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(width)]
-        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+        # A row per feature, so that each is read in one go.
+        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]).astype(np.uint8)
+        useful = [f for f in range(width) if len(cuts[f])]
         self.base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
         margin = np.full(n, self.base)
         features, limits, leaves = [], [], []
         draw = np.random.default_rng(self.seed)
-        everything = x, y, binned, margin
+        limits_of = [np.append(c, np.inf) for c in cuts]
         for _ in range(self.rounds):
             # Each tree is grown on a share of the rows.
-            drawn = draw.random(len(y)) < self.share
-            x, y, binned, margin = (a[drawn] for a in everything)
-            n = len(y)
-            p = 1 / (1 + np.exp(-margin))
-            slope, bend = y - p, p * (1 - p)
+            drawn = np.flatnonzero(draw.random(len(y)) < self.share)
+            bins, n = binned[:, drawn], len(drawn)
+            p = 1 / (1 + np.exp(-margin[drawn]))
+            slope, bend = y[drawn] - p, p * (1 - p)
             at = np.ones(n, dtype=np.int64)
             feature = np.zeros(1 << self.depth, dtype=np.int32)
-            limit = np.full(1 << self.depth, np.inf)
+            split_at = np.full(1 << self.depth, self.bins, dtype=np.int64)
             for level in range(self.depth):
                 first = 1 << level
                 node = at - first
                 best = np.full(first, 1e-9)
                 split = np.full(first, -1)
-                for f in range(width):
+                for f in useful:
                     size = len(cuts[f]) + 1
-                    if size < 2:
-                        continue
-                    cell = node * size + binned[:, f]
+                    cell = node * size + bins[f]
                     g = np.bincount(cell, slope, first * size).reshape(first, size).cumsum(axis=1)
                     h = np.bincount(cell, bend, first * size).reshape(first, size).cumsum(axis=1)
                     gl, hl, gt, ht = g[:, :-1], h[:, :-1], g[:, -1:], h[:, -1:]
@@ -55,13 +54,11 @@ class Boosted:
                     best[better] = top[better]
                     split[better] = k[better]
                     feature[first : 2 * first][better] = f
-                for j in range(first):
-                    if split[j] >= 0:
-                        limit[first + j] = cuts[feature[first + j]][split[j]]
-                at = 2 * at + (x[np.arange(n), feature[at]] > limit[at])
+                split_at[first : 2 * first] = np.where(split >= 0, split, self.bins)
+                at = 2 * at + (bins[feature[at], np.arange(n)] > split_at[at])
             leaf = at - (1 << self.depth)
             value = self.rate * np.bincount(leaf, slope, 1 << self.depth) / (np.bincount(leaf, bend, 1 << self.depth) + self.smooth)
-            x, y, binned, margin = everything
+            limit = np.array([np.inf if k >= len(limits_of[f]) else limits_of[f][k] for f, k in zip(feature.tolist(), split_at.tolist(), strict=True)])
             margin += value[_leaf(x, feature, limit, self.depth)]
             features.append(feature)
             limits.append(limit)

@@ -1,8 +1,9 @@
 """Main-text extraction from web pages by boosted trees over DOM nodes.
 
 A page is parsed to a tree. Every element gets features of its tag, its attributes' words, its place, its siblings and its
-subtree; boosted trees give the log odds that it belongs to the article. Decoding is hierarchical: the set of kept
-elements of greatest total log odds is chosen among those in which no kept element has a dropped ancestor.
+subtree; boosted trees give the log odds that it belongs to the article, and further trees correct them by the odds of the
+element's ancestors and children. Decoding is hierarchical: the set of kept elements of greatest total log
+odds is chosen among those in which no kept element has a dropped ancestor.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import bounded_batches
+from .common import BATCH_MB, bounded_batches, portions
 
 # Element names by role, and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp svg math".split())
+RAW = frozenset("script style textarea title iframe template".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -48,6 +49,9 @@ WORDS = {
     "comment": "comment comments commentlist disqus discussion reply replies respond feedback review reviews thread",
     "content": "article articles content main post entry story body text page copy single hentry document prose blog",
 }
+#: The list that speaks for main text is the last; groups of elements that speak against it.
+KEEP = len(WORDS) - 1
+DROPS = [GROUPS[name] for name in ("nav", "footer", "aside", "form")]
 WORD_OF = {word: k for k, words in enumerate(WORDS.values()) for word in words.split()}
 ATTRIBUTES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -203,11 +207,55 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.log1p(text), np.log1p(own[:, 0]), tree[:, 1] / np.maximum(text, 1), text / np.maximum(size, 1), level, np.log1p(children), order / family, same / family,
         np.log1p(beside[parent] / family), text / np.maximum(beside[parent], 1), tree[:, 2] / np.maximum(text, 1), text / np.maximum(total, 1), before / np.maximum(total, 1),
         np.log1p(tree[:, 4]), np.log1p(tree[:, 5]), tree[:, 6], np.log1p(size),
+        # Words that speak for dropping and for keeping, of the element and of what is above it.
+        words[:, :KEEP].sum(axis=1), above[:, :KEEP].sum(axis=1), words[:, KEEP], np.minimum(above[:, KEEP] + above[:, len(WORDS) + 1 + GROUPS["article"]], 3),
+        above[:, len(WORDS) + 1 + np.array(DROPS)].sum(axis=1), [bool(a.strip()) for p in pages for a in p.attributes],
     ]
     x = np.concatenate((np.stack(numbers, axis=1), kind[:, None], np.eye(KINDS)[kind], words, np.minimum(above, 3)), axis=1)
     return x, parent, ends
 
 
+#: The column of an element's depth.
+LEVEL = 4
+
+
+def context(level: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The odds around each element, of rows in document order: its own, its parent's, the least above it, its children's mean."""
+    n = len(odds)
+    parent, least, at = np.arange(n), odds.copy(), {}
+    for k, depth in enumerate(level.astype(np.int64).tolist()):
+        if depth:
+            q = parent[k] = at[depth - 1]
+            least[k] = min(odds[q], least[q])
+        at[depth] = k
+    inner = parent != np.arange(n)
+    sums, counts = np.bincount(parent[inner], odds[inner], n), np.bincount(parent[inner], minlength=n)
+    return np.stack((odds, odds[parent], least, np.where(counts > 0, sums / np.maximum(counts, 1), odds)), axis=1)
+
+
+class Layered:
+    """Boosted trees over an element's features, and boosted trees over these and the first ones' odds around it."""
+
+    def __init__(self, rounds: int):
+        self.first, self.second = Boosted(rounds=rounds, share=0.2), Boosted(rounds=rounds, share=0.2, seed=2)
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> "Layered":
+        """The second trees learn from other pages than the first, so that they see odds as they will be."""
+        page = np.cumsum(x[:, LEVEL] == 0) - 1
+        inner, one = x[:, LEVEL] > 0, page <= page[-1] // 2
+        self.first.fit(x[inner & one], y[inner & one])
+        rest, more = ~one, inner[~one]
+        self.second.fit(self._seen(x[rest])[more], y[rest][more])
+        return self
+
+    def _seen(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate((x, context(x[:, LEVEL], np.clip(self.first.margins(x), -6, 6))), axis=1)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of each row; rows are whole pages in document order."""
+        return self.second.margins(self._seen(x)) if len(x) else np.zeros(0)
+
+
 def decoded(odds: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Kept elements: the greatest sum of log odds of which no kept element has a dropped parent. Parents come first in order."""
     best = odds.copy()
@@ -223,7 +271,7 @@ def decoded(odds: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return kept
 
 
-def main_texts(sources: list[str], model: Boosted) -> list[str]:
+def main_texts(sources: list[str], model: Layered) -> list[str]:
     """The main text of each page."""
     pages = [Page(s) for s in sources]
     if not pages:
@@ -249,13 +297,16 @@ class _Maker:
     """Invents pages whose main text is known. A tag's data-k attribute tells its label and is removed afterwards."""
 
     def __init__(self, seed: int):
-        self.r = random.Random(seed)
+        r = self.r = random.Random(seed)
+        parts = ("ka", "lo", "mi", "ren", "tu", "sol", "va", "per", "in", "de")
+        self.plain = ["".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(4000)]
+        # Some end a sentence or a clause.
+        self.ended = [w + ("." if k % 100 < 8 else "," if k % 100 < 14 else "") for k, w in enumerate(self.plain)]
 
     def words(self, low: int, high: int, sentence: bool = True) -> str:
         r = self.r
-        out = ["".join(r.choice(("ka", "lo", "mi", "ren", "tu", "sol", "va", "per", "in", "de")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
+        out = r.choices(self.ended if sentence else self.plain, k=r.randint(low, high))
         if sentence:
-            out = [w + ("." if r.random() < 0.08 else "," if r.random() < 0.06 else "") for w in out]
             return " ".join(out).capitalize() + ("." if r.random() < 0.9 else "")
         return " ".join(out)
 
@@ -267,8 +318,17 @@ class _Maker:
         word = r.choice((word, word, f"{word}-{r.choice(('box', 'wrap', 'inner', 'block', 'area'))}", f"site-{word}", f"{word} clearfix", f"js{word.capitalize()}"))
         return f' {r.choice(("class", "class", "id"))}="{word}"'
 
+    def body_attrs(self, hint: float) -> str:
+        """Attributes of what holds the article: often none, and now and then words that others have, as in blog-comment-policy."""
+        r = self.r
+        if r.random() < 0.22:
+            some = [r.choice(r.choice(list(WORDS.values())).split()) for _ in range(r.choice((1, 1, 2)))] + [r.choice(("policy", "x", "blog", "story", "of", "area", "guide"))]
+            r.shuffle(some)
+            return f' {r.choice(("class", "class", "id"))}="{r.choice(("-", " ", "_")).join(some)}"'
+        return self.attrs(WORDS["content"], hint)
+
     def link(self, low: int = 1, high: int = 3) -> str:
-        return f'<a href="/{self.words(1, 1, False)}">{self.words(low, high, False)}</a>'
+        return f'<a href="/{self.words(1, 1, False)}">{self.words(low, high, False)}{self.r.choice(("", "", "", "", ".", ",", "!", "?"))}</a>'
 
     def links(self) -> str:
         r = self.r
@@ -280,6 +340,12 @@ class _Maker:
     def paragraph(self) -> str:
         r = self.r
         text = self.words(1, 6) if r.random() < 0.12 else self.words(8, 90)
+        if r.random() < 0.07:
+            return f'<a href="/{self.words(1, 1, False)}">{text}</a>'
+        if r.random() < 0.06:
+            parts = text.split(" ")
+            k = r.randrange(len(parts) + 1)
+            return " ".join(parts[:k]) + r.choice((" <math><mi>{}</mi></math>", " <svg><text>{}</text></svg>", " <math><mrow><mi>{}</mi><mo>x</mo></mrow></math>", "<noscript>{}</noscript>")).format(" ".join(parts[k:]))
         if r.random() < 0.2:
             parts = text.split(" ")
             k = r.randrange(len(parts))
@@ -293,11 +359,18 @@ class _Maker:
         r = self.r
         out = []
         if r.random() < 0.8:
-            out.append(f"<h1>{self.words(2, 10)}</h1>")
+            heading = f"<h1>{self.words(2, 10)}</h1>"
+            draw = r.random()
+            out.append(f"<header{self.attrs('header heading entry-header title', 0.4)}>{heading}</header>" if draw < 0.2 else f"<div>{heading}</div>" if draw < 0.25 else heading)
         for _ in range(r.choice((0, 0, 1, 1, 1, 2, 3, 4, 6, 8, 12))):
             draw = r.random()
-            if draw < 0.7:
-                out.append(f"<p>{self.paragraph()}" + ("</p>" if r.random() < 0.9 else ""))
+            if draw < 0.52:
+                own = self.body_attrs(0.5) if r.random() < 0.1 else ""
+                out.append(f"<p{own}>{self.paragraph()}" + ("</p>" if r.random() < 0.9 else ""))
+            elif draw < 0.7:
+                tag = r.choice(("section", "div"))
+                title = f"<h2>{self.words(1, 7, False)}</h2>" if r.random() < 0.4 else ""
+                out.append(f"<{tag}{self.body_attrs(0.3) if r.random() < 0.5 else ''}>{title}" + "".join(f"<p>{self.words(1, 12) if r.random() < 0.4 else self.paragraph()}</p>" for _ in range(r.choice((1, 1, 1, 2, 3)))) + f"</{tag}>")
             elif draw < 0.78:
                 out.append(f"<h2>{self.words(1, 7, False)}</h2>")
             elif draw < 0.84:
@@ -306,15 +379,18 @@ class _Maker:
                 out.append(f"<blockquote><p>{self.paragraph()}</p></blockquote>")
             elif draw < 0.91:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.words(1, 4, False)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 5))) + "</table>")
-            elif draw < 0.94:
+            elif draw < 0.93:
                 out.append(f"<div>{self.paragraph()}</div>")
-            elif draw < 0.97:
+            elif draw < 0.95:
                 out.append(f"<figure><figcaption>{self.words(3, 12)}</figcaption></figure>")
             else:
-                out.append(self.drop(r.choice(("advert", "widget", "notice"))))
+                out.append(self.drop(r.choice(("advert", "widget", "notice", "side", "form", "nav")), True))
+        for _ in range(r.choice((0, 0, 0, 0, 1, 1, 2))):
+            out.append(self.drop(r.choice(("comment", "footer", "footer", "widget", "form", "advert", "side")), True))
         return "".join(out)
 
-    def drop(self, role: str) -> str:
+    def drop(self, role: str, sure: bool = False) -> str:
+        """Something that is no main text; if sure, its tag or its attributes say so, as inside an article they must."""
         r = self.r
         tag, hint, words, inner = "div", 0.85, WORDS[role if role in WORDS else "edge"], self.links()
         if role == "nav":
@@ -349,14 +425,18 @@ class _Maker:
             inner = r.choice((self.links(), f"<h3>{self.words(1, 3, False)}</h3>" + self.links(), self.link(), f"<span>{self.words(1, 3, False)}</span>"))
             hint = 0.97
         inner = inner if tag != "p" else re.sub(r"<[^>]*>", " ", inner)
+        if r.random() < 0.08:
+            # Such as post-comments or article-share.
+            words = " ".join(f"{r.choice(WORDS['content'].split())}-{w}" for w in words.split())
+        hint = 1.0 if sure and tag in ("div", "section", "p", "ul", "ol") else hint
         return f"<{tag} data-k=0{self.attrs(words, 0.5 if tag in ('nav', 'footer', 'aside', 'form', 'header') else hint)}>{inner}</{tag}>"
 
     def page(self) -> str:
         r = self.r
         tag = r.choice(("article", "article", "main", "div", "div", "section"))
-        body = f"<{tag} data-k=1{self.attrs(WORDS['content'], 0.4 if tag in ('article', 'main') else 0.9)}>{self.article()}</{tag}>"
+        body = f"<{tag} data-k=1{self.body_attrs(0.4 if tag in ('article', 'main') else 0.6)}>{self.article()}</{tag}>"
         if r.random() < 0.2:
-            body = re.sub(r"<(p|h1|h2|ul|blockquote|table|div|figure)\b(?! data-k)", r"<\1 data-k=1", self.article())
+            body = re.sub(r"<(p|h1|h2|ul|blockquote|table|div|figure|section|header)\b(?! data-k)", r"<\1 data-k=1", self.article())
         for _ in range(r.choice((0, 0, 1, 1, 2))):
             wrap = r.choice(("div", "div", "main", "section"))
             extra = "".join(self.drop(r.choice(("side", "widget", "advert", "comment", "notice"))) for _ in range(r.choice((0, 0, 1, 2))))
@@ -371,7 +451,7 @@ class _Maker:
 
 
 #: Invented pages that the model is fitted on.
-TRAINING_PAGES, SEED = 900, 20240
+TRAINING_PAGES, ROUNDS, SEED = 3000, 60, 20240
 _MARK = re.compile(r" data-k=([01])")
 
 
@@ -396,15 +476,13 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> tuple[list[
 
 
 @cache
-def default_model() -> Boosted:
+def default_model() -> Layered:
     """The model fitted on invented pages, made once per process."""
     pages, labels = labelled_pages()
-    x, parent, _ = features(pages)
-    inner = parent != np.arange(len(parent))
-    return Boosted(rounds=90).fit(x[inner], labels[inner].astype(np.float64))
+    return Layered(ROUNDS).fit(features(pages)[0], labels.astype(np.float64))
 
 
-def extracted(pages: DataFrame, model: Boosted | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, model: Layered | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page, from its whole source.
 
     Blocks are joined by \\n, white space inside a block is one space, character references are decoded; br is white space.
@@ -412,14 +490,14 @@ def extracted(pages: DataFrame, model: Boosted | None = None, id_col: str = "pag
     rows are pages of their own, and an empty table gives an empty table. Other columns are ignored. Nothing is
     shuffled; the workers get the fitted trees.
     """
-    bounded_batches(pages.sparkSession, 200, 4)
+    bounded_batches(pages.sparkSession)
     fitted = model or default_model()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in portions(batches, 200, BATCH_MB):
             texts = main_texts(batch.column(2).to_pylist(), fitted)
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
