@@ -19,6 +19,7 @@ import hashlib
 import io
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .common import WordEncoder, bounded_batches, partitions, shared_path, whole
 FOOTER = struct.Struct("<5Q3I2Q8s")
 MAGIC = b"INKSST01"
 BLOCK_BYTES, PROBES, BITS_PER_KEY = 64 * 1024, 7, 10
+#: Bytes of text of a shard at most, about; a writer holds the digests of its keys.
+SHARD_BYTES = 256 << 20
 END_ID = 1
 
 
@@ -61,8 +64,12 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int, probes: int) -> list[int]:
-    one, two = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+def _digest(key: bytes) -> tuple[int, int]:
+    return struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+
+
+def _probes(digest: tuple[int, int], bits: int, probes: int) -> list[int]:
+    one, two = digest
     return [(one + i * (two | 1)) % bits for i in range(probes)]
 
 
@@ -74,7 +81,7 @@ class Writer:
 
         self.file, self.id_bytes, self.codec = file, id_bytes, pa.Codec("zstd", compression_level=1)
         self.at = self.entries = self.ids = self.in_block = 0
-        self.block, self.index, self.keys = bytearray(), [], []
+        self.block, self.index, self.digests = bytearray(), [], array("Q")
         self.first = self.last = b""
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
@@ -89,7 +96,7 @@ class Writer:
             self.first = key
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
-        self.keys.append(key)
+        self.digests.extend(_digest(key))
         self.entries, self.in_block, self.ids = self.entries + 1, self.in_block + 1, self.ids + len(ids)
         if len(self.block) >= BLOCK_BYTES:
             self._end_block()
@@ -105,10 +112,10 @@ class Writer:
     def close(self) -> None:
         self._end_block()
         index = b"".join(_varint(len(k)) + k + b"".join(map(_varint, rest)) for k, *rest in self.index)
-        bits = max(64, len(self.keys) * BITS_PER_KEY)
+        bits = max(64, len(self.digests) // 2 * BITS_PER_KEY)
         bloom = bytearray(-(-bits // 8))
-        for key in self.keys:
-            for p in _probes(key, bits, PROBES):
+        for digest in zip(self.digests[::2], self.digests[1::2], strict=True):
+            for p in _probes(digest, bits, PROBES):
                 bloom[p >> 3] |= 1 << (p & 7)
         self.file.write(index + bytes(bloom))
         where = (self.at, len(index), self.at + len(index), len(bloom), bits)
@@ -159,7 +166,7 @@ class Reader:
                 yield id_of(key), ids
 
     def may_hold(self, doc_id: int | None) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key_of(doc_id), self.bits, self.probes))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(_digest(key_of(doc_id)), self.bits, self.probes))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry under a document id."""
@@ -187,16 +194,19 @@ def written(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col:
     """Encodes every whole text, appends END_ID, and writes shards in ascending id order into a shared folder.
 
     Returns (shard, uri, entries, ids, first id, last id) in order; one entry per shard is all the driver gets.
-    Texts are shuffled once, by ranges of id; each task streams its range into one file. A retried or
-    speculative task writes a file of its own, and only files of tasks that ended well are listed. Null
-    texts are empty (one END_ID), null ids come first, repeated ids are kept side by side in the order of
-    their texts. An empty table gives no shard.
+    Texts are shuffled once, by ranges of id and text hash, so that no id's rows need meet in one task; each task streams its range
+    of at most about SHARD_BYTES into one file. A retried or speculative task writes a file of its own, and only files of
+    tasks that ended well are listed. Null texts are empty (one END_ID), null ids come first, repeated ids are kept
+    side by side in the order of their texts' hashes. An empty table gives no shard.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = folder or shared_path(spark, "sst")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tie = F.xxhash64("text")
+    ranges = partitions(spark, -(-size // SHARD_BYTES))
+    ordered = rows.repartitionByRange(ranges, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -232,15 +242,32 @@ def _types():
 
 
 def read_back(spark, shards: list[tuple]) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
-    before, listed = 0, []
-    for shard, uri, _, ids, *_ in shards:
-        listed.append((shard, uri, before))
-        before += ids
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard.
+
+    shards tells where the files are and their order; what they hold is read from them, how many ids first, from their footers.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
-    if not listed:
+    if not shards:
         return spark.createDataFrame([], schema)
-    files = spark.createDataFrame(listed, "shard int, uri string, start long").repartition(min(len(listed), partitions(spark)), "shard")
+
+    def counted(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = []
+            for uri in batch.column(1).to_pylist():
+                file, system, path = _open(uri, False)
+                with file:
+                    ids.append(Reader(file, system.get_file_info(path).size).ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64())], names=["shard", "uri", "ids"])
+
+    spread = min(len(shards), partitions(spark))
+    files = spark.createDataFrame([(shard, uri) for shard, uri, *_ in shards], "shard int, uri string").repartition(spread, "shard")
+    before, listed = 0, []
+    for r in sorted(files.mapInArrow(counted, "shard int, uri string, ids long").collect()):
+        listed.append((r["shard"], r["uri"], before))
+        before += r["ids"]
+    files = spark.createDataFrame(listed, "shard int, uri string, start long").repartition(spread, "shard")
 
     def read(batches: Iterable) -> Iterator:
         import pyarrow as pa
