@@ -8,6 +8,7 @@ found by binary search, and the hashes of all windows of an edited text follow f
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,27 +172,26 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     like nothing else (0). Null ids come last in the order; rows of equal id are ordered by text. A
     single row is its own next one. Other columns are ignored. An empty table gives an empty table.
 
-    Ids are cut into ranges at quantiles of a bounded sample of ids. Whole texts are shuffled once, by
-    range; the first row of each range also goes to the range before it, so that no row is missing its
-    neighbour. The driver holds one id per range.
+    The order is cut into ranges at quantiles of a bounded sample of pairs of id and text hash, so that neither repeated nor null
+    ids meet in one task; only rows that repeat both do. Whole texts are shuffled once, by range; the first row of
+    each range also goes to the range before it, so that no row is missing its neighbour. The driver holds one pair per range.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     count = partitions(spark)
     ranges = ranges or 4 * count
     total = docs.count()
     if not total:
         return spark.createDataFrame([], SCHEMA)
     share = min(1.0, 40 * ranges / total)
-    picked = docs.select("doc_id").where((F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 < share * 1_000_003 + 1)
-    ids = np.sort(np.array([r[0] for r in picked.where("doc_id is not null").collect()], dtype=np.int64))
-    bounds = np.unique(np.quantile(ids, np.linspace(0, 1, ranges + 1)[1:-1], method="lower")).tolist() if len(ids) else []
-    # Range 0 has the largest ids; nulls come last.
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(
-        F.lit(len(bounds)) - _bucket(F.col("doc_id"), bounds)
-    )
-    ranged = docs.withColumn("place", place.cast("int")).withColumn("tie", F.xxhash64("text"))
+    picked = docs.select("doc_id", "tie").where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1_000_003)) < share * 1_000_003 + 1)
+    # Null ids are the least, so they come last in descending order.
+    pairs = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]) for r in picked.collect())
+    bounds = sorted({pairs[len(pairs) * k // ranges] for k in range(1, ranges)}) if pairs else []
+    # Range 0 has the largest ids.
+    place = F.lit(len(bounds)) - _bucket(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("tie").alias("tie")), bounds)
+    ranged = docs.withColumn("place", place.cast("int"))
     firsts = ranged.groupBy("place").agg(F.max(F.struct("doc_id", "tie")).alias("top")).collect()
     tops = {r["place"]: (r["top"]["doc_id"], r["top"]["tie"]) for r in firsts}
     order = sorted(tops)
@@ -202,18 +202,18 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ranged.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie")))
         .groupBy("before", "top_id", "top_tie")
         .agg(F.first("text").alias("text"))
-        .select(F.col("top_id").alias("doc_id"), "text", F.col("before").alias("place"), F.lit(None).cast("long").alias("tie"), F.lit(1).alias("ghost"))
+        .select(F.col("top_id").alias("doc_id"), "text", F.lit(None).cast("long").alias("tie"), F.col("before").alias("place"), F.lit(1).alias("ghost"))
     )
     both = ranged.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     ordered = both.repartition(count, "place").sortWithinPartitions("place", "ghost", F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), "text")
     return ordered.select("place", "ghost", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
 
 
-def _bucket(value, bounds: list[int]):
+def _bucket(value, bounds: list[tuple[bool, int, int]]):
     """How many of the sorted bounds are at most the value: a binary search in the plan, without Python."""
     if not bounds:
         return F.lit(0)
-    listed = F.from_json(F.lit(str(bounds)), "array<bigint>")
+    listed = F.from_json(F.lit(json.dumps([{"known": k, "id": i, "tie": t} for k, i, t in bounds])), "array<struct<known:boolean,id:bigint,tie:bigint>>")
     steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
     further = lambda at, step: (at + step <= len(bounds)) & (F.get(listed, at + step - 1) <= value)
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))

@@ -209,3 +209,33 @@ def test_cleanup(spark, docs):
     assert any(folder.glob("left-*"))
     cleanup(spark)
     assert not any(folder.glob("left-*"))
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    """One id, or none, holds most rows: each row still has its neighbour, whatever the ranges."""
+    rows = [(7, f"text number {k} " * 3) for k in range(60)] + [(None, f"no id {k} " * 2) for k in range(60)] + [(k, f"own {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_ranges = [sorted(map(str, fingerprints.fingerprinted(docs, ranges=n).collect())) for n in (1, 3, 16)]
+    assert len(by_ranges[0]) == len(rows) and by_ranges[0] == by_ranges[1] == by_ranges[2]
+
+
+def test_fingerprint_query_against_brute_force(docs):
+    """n_chars, the edited text's hash and both likenesses of every row, from windows compared as text."""
+    rows = sorted(((r[0], r[1] or "") for r in ROWS if r[0] is not None and r[0] != 1 and r[0] != 12), key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fingerprints.fingerprinted(docs.where("doc_id IS NOT NULL AND doc_id NOT IN (1, 12)")).collect()}
+
+    def windows(text):
+        width = min(fingerprints.WINDOW, len(text))
+        return {text[k : k + width] for k in range(len(text) - width + 1)} if text else set()
+
+    for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        r = got[doc_id]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        for likeness, other in ((r.near_edited, edited), (r.near_next, after)):
+            a, b = windows(text), windows(other)
+            exact = len(a & b) / len(a | b) if a | b else 1.0
+            # Exact for small sets; of larger ones, the share among the least hashes.
+            assert abs(likeness - exact) < (1e-9 if len(a | b) <= fingerprints.SKETCH else 0.17)
+        assert (r.fingerprint == r.edited_fingerprint) == (text == edited)
