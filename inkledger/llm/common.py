@@ -190,7 +190,7 @@ class WordEncoder:
     #: Stands between words that are encoded in one go; words that hold it are encoded alone.
     MARK = "\x01"
 
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -234,7 +234,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     table = spark.sparkContext.broadcast((length << 44 | (starts - of_length), starts - of_length, first, offset))
     # Window and join share their keys: ranked pieces aren't shuffled again to meet the bases.
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("rank", rank).join(bases.select("length", "salt", "base"), ["length", "salt"])
+    ranked = salted.withColumn("rank", rank).join(bases.select("length", "salt", "base").hint("merge"), ["length", "salt"])
 
     def placed(batches: Iterator) -> Iterator:
         import pyarrow as pa
