@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, language, lines, mixing, packing, sstable, suffixes, topk
+from . import fingerprints, html, jaccard, language, lines, mixing, packing, periods, sstable, suffixes, topk
 
 #: Path of the tokenizer file of the packing and output queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,8 +63,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic(table(spark, sf_dir, "documents"), edited=True)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op5_html, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard)
+    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op5_html, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard, op11_periods)
     return {f.__name__: f for f in found}
 
 
