@@ -118,15 +118,15 @@ def dropped(df: DataFrame) -> None:
 HOT_KEYS = 2000
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int, most: int = HOT_KEYS) -> DataFrame:
     """rows with the columns of table by key, rows without one left out. table has a row per key, and in `count` at least how many
     of `total` rows have it.
 
-    Of keys with more than total / HOT_KEYS rows there are fewer than HOT_KEYS, whatever the data: those are broadcast
+    Of keys with more than total / most rows there are fewer than `most`, whatever the data: those are broadcast
     and their rows stay where they are. All others meet by a shuffle, in which no key is large.
     """
     keys = [key] if isinstance(key, str) else key
-    often = F.col(count) * HOT_KEYS > total
+    often = F.col(count) * most > total
     hot, rest = table.where(often), table.where(~often)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
     return cold.unionByName(rows.join(F.broadcast(hot), keys))
