@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, fingerprints, html, jaccard, language, lines, mixing, packing, periods, sstable, suffixes, topk
+from . import alignment, fingerprints, html, jaccard, language, lines, matching, mixing, packing, periods, sstable, suffixes, topk
 
 #: Path of the tokenizer file of the packing and output queries, and of the two that are aligned.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,12 +68,16 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic(table(spark, sf_dir, "documents"), edited=True)
 
 
+def op12_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.without_passages(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_aligned(table(spark, sf_dir, "documents"), *ALIGNED)
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op5_html, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard, op11_periods, op13_alignment)
+    found = (op1_fingerprints, op2_mixing, op3_language, op4_sstable, op5_html, op6_topk, op7_repeats, op8_lines, op9_packing, op10_jaccard, op11_periods, op12_matching, op13_alignment)
     return {f.__name__: f for f in found}
 
 
