@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the same bytes, by higher-order functions over their token ends.
 
-Tokenising is the only Python: it returns each text's token ids and the byte offsets where they end. Ends of both tokenizers, tagged and
+Tokenising is the only Python: it returns token ids and the byte offsets where they end, of the distinct units of text in a batch. Ends of both tokenizers, tagged and
 numbered, are sorted into one array; a token's place in it less its own number is how many tokens of the other tokenizer end before. So
 every end names the two tokens over the bytes before it, which is a link, and ends that both have cut the tokens into groups.
 """
@@ -19,9 +19,15 @@ from .common import bounded_batches, hot_join, made_so_far, stored, sweep, whole
 #: Pairs of ids that are broadcast with their counts; with more, the most frequent are, fewer than FREQUENT, and the rest is joined by pair.
 MOST_PAIRS, FREQUENT = 500_000, 100_000
 #: Units remembered by a worker in each of two generations, and those of them that are encoded in one go.
-UNITS, GROUP = 150_000, 256
-_ENDS = T.ArrayType(T.IntegerType(), False)
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, _ENDS) for c in ("a_ids", "a_ends", "b_ids", "b_ends")]])
+UNITS, GROUP = 100_000, 256
+_NUMBERS = T.ArrayType(T.IntegerType(), False)
+_UNIT = T.StructType([T.StructField(c, _NUMBERS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
+_DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("units", _NUMBERS, False)])
+TOKENS = T.StructType([T.StructField("units", T.ArrayType(_UNIT, False), False), T.StructField("docs", T.ArrayType(_DOC, False), False)])
+#: Bytes before and after a space at which a unit may begin.
+_BEFORE, _AFTER = np.zeros((2, 256), dtype=bool)
+_BEFORE[[b for b in range(0x21, 256) if b not in (0x7F, 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF) and not 0x80 <= b <= 0x8A]] = True
+_AFTER[[b for b in range(0x21, 256) if b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3)]] = True
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,31 +72,35 @@ class Encoders:
         return [np.array(e.ids, dtype=np.int32) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, which: int, ids: np.ndarray) -> bytes:
-        return b"".join(self.pieces[which].take(ids).to_pylist()) if len(ids) else b""
+        got = self.pieces[which].take(ids)
+        if not len(got):
+            return b""
+        ends = np.frombuffer(got.buffers()[1], dtype=np.int32, count=len(got) + 1, offset=4 * got.offset)
+        return got.buffers()[2].to_pybytes()[ends[0] : ends[-1]]
 
     def encoded(self, units: list[bytes]) -> list[tuple[bytes, bytes | None]]:
         """Ids of units by both tokenizers, as bytes; none by the second where its pieces don't give the unit back."""
-        out: list[list] = [[None, None] for _ in units]
-        groups = [range(k, min(k + GROUP, len(units))) for k in range(0, len(units), GROUP)] if self.apart else [range(k, k + 1) for k in range(len(units))]
-        for which in (0, 1):
-            alone: list[int] = []
-            whole_ = [b"".join(units[k] for k in g) for g in groups]
-            for g, data, ids in zip(groups, whole_, self._ids(which, [w.decode() for w in whole_]), strict=True):
+        size = GROUP if self.apart else 1
+        groups = [units[k : k + size] for k in range(0, len(units), size)]
+        joined = [b"".join(g) for g in groups]
+        texts = [x.decode() for x in joined]
+        cuts = [np.cumsum(np.fromiter(map(len, g), dtype=np.int64, count=len(g))) for g in groups]
+        found: list[list[bytes | None]] = [[], []]
+        for which, out in enumerate(found):
+            for group, data, cut, ids in zip(groups, joined, cuts, self._ids(which, texts), strict=True):
                 ends = np.cumsum(self.sizes[which][ids])
-                cuts = np.cumsum([len(units[k]) for k in g])
-                at = np.searchsorted(ends, cuts)
-                if len(ends) and ends[-1] == len(data) and (ends[np.minimum(at, len(ends) - 1)] == cuts).all() and self._joined(which, ids) == data:
-                    low = 0
-                    for k, high in zip(g, (at + 1).tolist(), strict=True):
-                        out[k][which], low = ids[low:high].tobytes(), high
+                at = np.searchsorted(ends, cut)
+                if len(ends) and ends[-1] == len(data) and (ends[np.minimum(at, len(ends) - 1)] == cut).all() and self._joined(which, ids) == data:
+                    blob, bounds = ids.tobytes(), [0, *(4 * at + 4).tolist()]
+                    out += [blob[low:high] for low, high in zip(bounds, bounds[1:], strict=False)]
                 else:
-                    alone += g
-            for k, ids in zip(alone, self._ids(which, [units[k].decode() for k in alone]), strict=True):
-                out[k][which] = ids.tobytes() if self._joined(which, ids) == units[k] else None
-        return [tuple(x) for x in out]
+                    each = self._ids(which, [u.decode() for u in group])
+                    out += [x.tobytes() if self._joined(which, x) == u else None for u, x in zip(group, each, strict=True)]
+        return list(zip(*found, strict=True))
 
-    def tokens(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, bounds of each text in them) of both tokenizers; none of either where a text is empty or not given back."""
+    def units(self, texts: list[bytes]) -> tuple[list[tuple[bytes, bytes | None]], np.ndarray, np.ndarray]:
+        """Ids of the distinct units of all texts, the numbers of each text's units in a row, and the bounds of each text in them; none
+        of a text that is empty or not given back."""
         import pyarrow as pa
 
         data = np.frombuffer(b"".join(b" " + t for t in texts), dtype=np.uint8)
@@ -98,43 +108,29 @@ class Encoders:
         cut = np.zeros(len(data) + 1, dtype=bool)
         if self.apart and len(data) > 2:
             # Letters of two bytes and more may be blanks by their first and last bytes here; the units are longer then.
-            before = (data > 0x20) & ~np.isin(data, (0x7F, 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)) & ~((data >= 0x80) & (data <= 0x8A))
-            after = (data > 0x20) & ~np.isin(data, (0x7F, 0xC2, 0xE1, 0xE2, 0xE3))
-            cut[1:-2] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
+            cut[1:-2] = (data[1:-1] == 0x20) & _BEFORE[data[:-2]] & _AFTER[data[2:]]
         cut[first] = True
         bounds = np.flatnonzero(cut)
         array = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         coded = array.dictionary_encode()
         units, index = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
-        known, new = [], []
-        for u in units:
-            got = self.young.get(u) or self.old.get(u)
-            if got is None:
-                new.append(u)
-            known.append(got)
-        fresh = dict(zip(new, self.encoded(new), strict=True)) if new else {}
+        young, old = self.young, self.old
+        known = [young.get(u) or old.get(u) for u in units]
+        new = [u for u, got in zip(units, known, strict=True) if got is None]
+        fresh = dict(zip(new, self.encoded(new), strict=True))
         for k, u in enumerate(units):
-            known[k] = known[k] or fresh[u]
+            if known[k] is None:
+                known[k] = fresh[u]
             if len(u) <= 64:
-                self.young[u] = known[k]
-        if len(self.young) > UNITS:
-            self.old, self.young = self.young, {}
+                young[u] = known[k]
+        if len(young) > UNITS:
+            self.old, self.young = young, {}
         in_text = np.searchsorted(bounds, first)
-        bad = np.array([x[0] is None or x[1] is None for x in known], dtype=np.int64)[index]
+        bad = np.array([a is None or b is None for a, b in known], dtype=np.int64)[index]
         sums = np.concatenate(([0], np.cumsum(bad)))
         sound = (sums[in_text[1:]] == sums[in_text[:-1]]) & (np.diff(first) > 1)
-        # Of texts without tokens no unit counts.
-        keep = np.repeat(sound, np.diff(in_text))
-        out = []
-        for which in (0, 1):
-            blobs = [x[which] or b"" for x in known]
-            sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-            flat = np.frombuffer(b"".join(blobs), dtype=np.int32)
-            starts = np.cumsum(sizes) - sizes
-            count = np.where(keep, sizes[index], 0)
-            at = np.concatenate(([0], np.cumsum(count)))
-            out.append((flat[np.repeat(starts[index] - at[:-1], count) + np.arange(at[-1])], at[in_text]))
-        return out
+        count = np.where(sound, np.diff(in_text), 0)
+        return known, index[np.repeat(sound, np.diff(in_text))], np.concatenate(([0], np.cumsum(count)))
 
 
 _encoders: dict[tuple[str, str], Encoders] = {}
@@ -147,20 +143,31 @@ def encoders(a_path: str, b_path: str) -> Encoders:
 
 
 def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends: tokens of a space and the text, with the byte offsets where they end."""
+    """(units, docs): a row for each batch of documents, with the tokens of its distinct units, and of each document the numbers of its units.
+
+    Tokens are those of a space and the text; their ends are byte offsets within the unit.
+    """
     bounded_batches(docs.sparkSession)
 
     def found(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         both = encoders(a_path, b_path)
+        kind = lambda field: pa.list_(pa.field("element", pa.int32(), False)) if isinstance(field.dataType, T.ArrayType) else pa.int64()
+        fields = [[pa.field(f.name, kind(f), f.nullable) for f in column.dataType.elementType] for column in TOKENS]
         for batch in batches:
-            columns = [batch.column(0)]
-            for which, (ids, bounds) in enumerate(both.tokens(batch.column(1).to_pylist())):
+            known, index, bounds = both.units(batch.column(1).to_pylist())
+            lists = []
+            for which in (0, 1):
+                blobs = [x[which] or b"" for x in known]
+                ids = np.frombuffer(b"".join(blobs), dtype=np.int32)
+                at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4)))
                 ends = np.cumsum(both.sizes[which][ids])
-                before = np.concatenate(([0], ends))[bounds[:-1]]
-                ends = (ends - np.repeat(before, np.diff(bounds))).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in (ids, ends)]
+                before = np.concatenate(([0], ends))[at[:-1]]
+                lists += [(at, ids), (at, ends - np.repeat(before, np.diff(at)))]
+            listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)), type=kind(TOKENS["units"].dataType.elementType["a_ids"]))
+            structs = [pa.StructArray.from_arrays([listed(*x) for x in lists], fields=fields[0]), pa.StructArray.from_arrays([batch.column(0), listed(bounds, index)], fields=fields[1])]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=pa.list_(pa.field("element", x.type, False))) for x in structs]
             yield pa.RecordBatch.from_arrays(columns, names=TOKENS.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(whole(text_col), "utf-8").alias("data")).mapInArrow(found, TOKENS)
@@ -182,10 +189,10 @@ def _number(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_B - 1)).cast("int")
 
 
-def _merged() -> Column:
+def _merged(unit: Column) -> Column:
     """All ends of both tokenizers in order, the first's before an equal one of the second: end, tag and number in one long."""
     tagged = lambda ends, tag: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long").bitwiseOR(F.lit(tag))))
-    return F.sort_array(F.concat(tagged("a_ends", 0), tagged("b_ends", _B)))
+    return F.sort_array(F.concat(tagged(unit["a_ends"], 0), tagged(unit["b_ends"], _B)))
 
 
 def _met(ends: Column, m: Column) -> Column:
@@ -193,47 +200,69 @@ def _met(ends: Column, m: Column) -> Column:
     return (m > 0) & (_end(F.get(ends, m)) == _end(F.get(ends, m - 1)))
 
 
-def _links(size_b: int, kind: str) -> Column:
+def _links(unit: Column, ends: Column, size_b: int, kind: str) -> Column:
     """The pair of ids over the bytes before each distinct end, as a_id * size_b + b_id."""
 
-    def pair(ends: Column, x: Column, m: Column) -> Column:
+    def pair(x: Column, m: Column) -> Column:
         number, second = _number(x), x.bitwiseAND(F.lit(_B)) != 0
         other = m - number
-        a, b = F.get("a_ids", F.when(second, other).otherwise(number)), F.get("b_ids", F.when(second, number).otherwise(other))
+        a, b = F.get(unit["a_ids"], F.when(second, other).otherwise(number)), F.get(unit["b_ids"], F.when(second, number).otherwise(other))
         return F.when(~(second & _met(ends, m)), a.cast(kind) * F.lit(size_b).cast(kind) + b.cast(kind))
 
-    return _let(F.col("ends"), lambda ends: F.array_compact(F.transform(ends, lambda x, m: pair(ends, x, m))))
+    return F.array_compact(F.transform(ends, pair))
 
 
-def _groups() -> Column:
-    """The groups as a string: ids of the first tokenizer, a bar, those of the second."""
+def _groups(unit: Column, ends: Column, shared: Column) -> Column:
+    """The groups as a string: ids of the first tokenizer, a bar, those of the second. shared: where in ends those are that both have."""
 
-    def ids(column: str, low: Column, high: Column) -> Column:
-        one = F.get(column, high)
-        return F.when(low == high, one).otherwise(F.array_join(F.slice(column, low + 1, high - low + 1), ","))
+    def ids(name: str, low: Column, high: Column) -> Column:
+        one = F.get(unit[name], high).cast("string")
+        return F.when(low == high, one).otherwise(F.array_join(F.slice(unit[name], low + 1, high - low + 1).cast("array<string>"), ","))
 
-    def group(ends: Column, shared: Column, m: Column, k: Column) -> Column:
-        b = lambda at: F.when(at.isNull(), -1).otherwise(_number(F.get(ends, at)))
+    def group(m: Column, k: Column) -> Column:
         before = F.get(shared, k - 1)
-        b_low, b_high = b(before) + 1, b(m)
+        b_low = F.when(k == 0, 0).otherwise(_number(F.get(ends, before)) + 1)
+        b_high = _number(F.get(ends, m))
         a_low, a_high = F.coalesce(before, F.lit(-1)) - b_low + 1, m - b_high - 1
-        return F.concat(ids("a_text", a_low, a_high), F.lit("|"), ids("b_text", b_low, b_high))
+        return F.concat(ids("a_ids", a_low, a_high), F.lit("|"), ids("b_ids", b_low, b_high))
+
+    return F.array_join(F.transform(shared, group), ";")
+
+
+def _aligned_unit(unit: Column, size_b: int, kind: str) -> Column:
+    """n_a, n_b, n_groups, groups and links of a unit's tokens."""
+
+    count = lambda c: F.size(unit[c]).cast("long")
+    result = lambda n_groups, groups, links: F.struct(count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), n_groups.cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
+    # Most units: every token of one tokenizer is one of the other.
+    alike = result(
+        F.size(unit["a_ids"]), F.array_join(F.zip_with(unit["a_ids"], unit["b_ids"], lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";"),
+        F.zip_with(unit["a_ids"], unit["b_ids"], lambda a, b: a.cast(kind) * F.lit(size_b).cast(kind) + b.cast(kind)),
+    )
 
     def all_of(ends: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda m: _met(ends, m))
-        return _let(places, lambda shared: F.array_join(F.transform(shared, lambda m, k: group(ends, shared, m, k)), ";"))
+        common = F.size(F.array_intersect(unit["a_ends"], unit["b_ends"]))
+        return result(common, _let(places, lambda shared: _groups(unit, ends, shared)), _links(unit, ends, size_b, kind))
 
-    return F.when(F.size("ends") > 0, _let(F.col("ends"), all_of))
+    both = (F.size(unit["a_ids"]) > 0) & (F.size(unit["b_ids"]) > 0)
+    return F.when(both & (unit["a_ends"] == unit["b_ends"]), alike).when(both, _let(_merged(unit), all_of))
 
 
 def aligned(tokens: DataFrame, size_b: int, kind: str = "long") -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links, from tokens as tokenised() returns them. JVM functions only."""
-    text = lambda c: F.col(c).cast("array<string>")
-    rows = tokens.select("*", _merged().alias("ends"), text("a_ids").alias("a_text"), text("b_ids").alias("b_text"))
-    n_a, n_b = F.size("a_ids").cast("long"), F.size("b_ids").cast("long")
-    n_groups = F.size(F.array_intersect("a_ends", "b_ends")).cast("long")
-    digest = F.when(n_a > 0, F.sha2(_groups(), 256)).otherwise(F.lit(""))
-    return rows.select("doc_id", n_a.alias("n_a"), n_b.alias("n_b"), n_groups.alias("n_groups"), digest.alias("groups_sha256"), _links(size_b, kind).alias("links"))
+    """doc_id, n_a, n_b, n_groups, groups_sha256 and links, from tokens as tokenised() returns them. JVM functions only.
+
+    Both tokenizers end at a unit's end, so groups and links are built once for each distinct unit of a batch and put together for its documents.
+    """
+
+    def document(doc: Column, each: Column) -> Column:
+        total = lambda c: F.aggregate(doc["units"], F.lit(0).cast("long"), lambda n, i: n + F.get(each, i)[c]).alias(c)
+        of = lambda c: F.transform(doc["units"], lambda i: F.get(each, i)[c])
+        digest = F.when(F.size(doc["units"]) > 0, F.sha2(F.array_join(of("groups"), ";"), 256)).otherwise(F.lit(""))
+        return F.struct(doc["doc_id"].alias("doc_id"), total("n_a"), total("n_b"), total("n_groups"), digest.alias("groups_sha256"), F.flatten(of("links")).alias("links"))
+
+    units = F.transform("units", lambda unit: _aligned_unit(unit, size_b, kind))
+    return tokens.select(F.inline(_let(units, lambda each: F.transform("docs", lambda doc: document(doc, each)))))
 
 
 def cross_aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,11 +69,11 @@ def test_units_are_encoded_as_in_their_text():
     assert both.apart
     texts = [*ODD, "", "word " * 500 + "x"]
     for part in (texts, texts[::-1]):
-        (a, a_at), (b, b_at) = both.tokens([t.encode() for t in part])
+        known, index, bounds = both.units([t.encode() for t in part])
         for k, t in enumerate(part):
-            want = whole_tokens(t)
-            assert a[a_at[k] : a_at[k + 1]].tolist() == want[0], t
-            assert b[b_at[k] : b_at[k + 1]].tolist() == want[2], t
+            want, own = whole_tokens(t), [known[j] for j in index[bounds[k] : bounds[k + 1]]]
+            for which in (0, 1):
+                assert np.frombuffer(b"".join(u[which] for u in own), dtype=np.int32).tolist() == want[2 * which], t
 
 
 def test_query_against_brute_force(spark):
