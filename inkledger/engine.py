@@ -40,7 +40,7 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "fidelity_word_selection": fidelity.word_selection,
     "fidelity_bidi_balance": fidelity.bidi_balance,
     "fidelity_audit": fidelity.audit,
-    "fidelity_reflow": reflow.laid_out,
+    "fidelity_reflow": fidelity.reflowed,
     "open_regions": regions.opened,
     "checksums": codec.checksums,
     "excerpts": codec.excerpts,

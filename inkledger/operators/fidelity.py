@@ -2,66 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
 from ..functions import text as tx
+from . import pairing
 
 #: Marks needed before uniformity can be judged.
 LEAST_MARKS = 5
-WORD = "[\\p{IsAlphabetic}\\p{N}_]"
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
-    """pairs (cover, marked) with n, insertions, substitutions and failure, for covers without controls or Cyrillic letters.
-
-    The copy without its controls must be as long as the cover; controls are insertions, unlike characters substitutions.
-    """
-    n, skeleton = F.length("cover"), tx.without(F.col("marked"), cs.CONTROL)
-    failure = F.when(F.length(skeleton) > n, "visible_content_added").when(F.length(skeleton) < n, "cover_content_missing")
-    same = skeleton == F.col("cover")
-    unlike = F.size(F.filter(F.zip_with(F.split(skeleton, ""), F.split("cover", ""), lambda a, b: a != b), lambda x: x))
-    return pairs.select(
-        "*", n.cast("long").alias("n"), failure.alias("failure"), F.when(failure.isNull(), tx.count_of(F.col("marked"), cs.CONTROL)).alias("insertions"),
-        F.when(failure.isNull(), F.when(same, F.lit(0)).otherwise(unlike).cast("long")).alias("substitutions"),
-    )
+    """pairs (cover, marked) with n, failure, failure_at, insertions and substitutions (see pairing), for any cover."""
+    return pairing.measured(pairs, carried=tuple(pairs.columns))
 
 
 def marks(pairs: DataFrame) -> DataFrame:
     """doc_id, n, k, places, characters, width, window, window_at: the marks of each copy in order, with their places in the cover.
 
-    n is the cover's length, k the number of marks; window is the most marks in a window of width places, from window_at on. Row by row
-    in one Arrow pass: nothing is shuffled, and rows of one id stay apart. Copies without marks are left out.
+    n is the cover's length, k the number of marks; window is the most marks in a window of width places, from window_at on. Copies without
+    marks, and those that can't be paired, are left out.
     """
-    sound = aligned(pairs).where("failure IS NULL AND insertions + substitutions > 0").select("doc_id", "n", "marked")
-
-    def found(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        controls, marked = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
-        controls[[ord(c) for c in cs.CONTROL]] = True
-        marked[[ord(c) for c in cs.CONTROL + cs.CYRILLIC_LOOKALIKES]] = True
-        names = ("doc_id", "n", "k", "places", "characters", "width", "window", "window_at")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
-        for batch in batches:
-            rows = []
-            for doc_id, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                at = np.flatnonzero(marked[codes])
-                inserted = controls[codes[at]]
-                places = at - (np.cumsum(inserted) - inserted)
-                width = min(max(n // 10, 32), n)
-                within = np.searchsorted(places, places + width) - np.searchsorted(places, places)
-                best = int(within.argmax()) if len(within) else 0
-                rows.append((doc_id, n, len(places), places.tolist(), [chr(c) for c in codes[at].tolist()], width, int(within.max(initial=0)), int(places[best]) if len(places) else 0))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
-
-    return sound.mapInArrow(found, "doc_id long, n long, k long, places array<long>, characters array<string>, width long, window long, window_at long").where("k > 0")
+    return pairing.measured(pairs, "places").where("k > 0").select("doc_id", "n", *pairing.PLACES)
 
 
 def _summed(values, of=lambda v: v):
@@ -106,74 +69,46 @@ def density(pairs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mission", "fill", verdict.alias("verdict"))
 
 
-def audit(marked: DataFrame) -> DataFrame:
-    """doc_id, codepoint, n, first_at: the code points a copy added, in each row of it. In the row, without a shuffle."""
+#: Code points that an audit lists, the most frequent first.
+LISTED = 32
+
+
+def audit(marked: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, codepoint, n, first_at, rank: the code points a copy added, in each row of it, by falling count, then by code point. In the
+    row, without a shuffle; all of them, or the first `most`."""
     pairs = F.arrays_zip("characters", "places")
     each = F.transform(
         F.array_distinct("characters"),
-        lambda c: F.struct(F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0")).alias("codepoint"), F.size(F.filter("characters", lambda x: x == c)).cast("long").alias("n"), F.get(F.filter(pairs, lambda p: p["characters"] == c), F.lit(0))["places"].alias("first_at")),
+        lambda c: F.struct((-F.size(F.filter("characters", lambda x: x == c))).cast("long").alias("minus"), F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), 4, "0")).alias("codepoint"), F.get(F.filter(pairs, lambda p: p["characters"] == c), F.lit(0))["places"].alias("first_at")),
     )
-    return marked.select("doc_id", F.inline(each))
-
-
-def _words():
-    """Words of the cover, words of the copy with a control inside, and words of it with look-alikes put in."""
-    words = F.regexp_count("cover", F.lit(f"{WORD}+"))
-    # A word of the copy may hold controls between word characters.
-    broken = F.regexp_count("marked", F.lit(f"{WORD}+(?:[{cs.CONTROL}]+{WORD}+)+"))
-    runs = F.regexp_extract_all(F.translate("marked", cs.CONTROL, ""), F.lit(f"{WORD}+"), F.lit(0))
-    mixed = F.when(F.col("substitutions") > 0, F.size(F.filter(runs, lambda w: tx.matches(w, cs.CYRILLIC_LOOKALIKES)))).otherwise(F.lit(0))
-    return words, broken, mixed
+    listed = F.array_sort(each)
+    rows = marked.select("doc_id", F.posexplode(F.slice(listed, 1, most) if most else listed))
+    return rows.select("doc_id", "col.codepoint", (-F.col("col.minus")).alias("n"), "col.first_at", (F.col("pos") + 1).cast("long").alias("rank"))
 
 
 def word_selection(pairs: DataFrame) -> DataFrame:
-    """doc_id, words, broken, mixed, verdict: words with a control inside, and words with look-alikes put in."""
-    rows = aligned(pairs).where("failure IS NULL")
-    words, broken, mixed = _words()
-    verdict = F.when(broken > 0, "conspicuous").when(mixed > 0, "degraded").otherwise("clean")
-    return rows.select("doc_id", words.cast("long").alias("words"), broken.cast("long").alias("broken"), mixed.cast("long").alias("mixed"), verdict.alias("verdict"))
-
-
-#: Openings and their closings among the direction controls.
-OPENERS = {"‪": "‬", "‫": "‬", "‭": "‬", "‮": "‬", "⁦": "⁩", "⁧": "⁩", "⁨": "⁩"}
+    """doc_id, words, broken, mixed, verdict: words of the cover with a control put inside, and words with letters in others' place."""
+    rows = pairing.measured(pairs, "checks").where("failure IS NULL")
+    verdict = F.when(F.col("broken") > 0, "conspicuous").when(F.col("mixed") > 0, "degraded").otherwise("clean")
+    return rows.select("doc_id", "words", "broken", "mixed", verdict.alias("verdict"))
 
 
-def _scopes():
-    """Direction scopes that a copy leaves open, and closings without one, beyond its cover's.
-
-    A fold over the direction controls alone. A closing ends the last scope of its kind, and those inside.
-    """
-    controls = "".join(OPENERS) + "‬⁩"
-
-    def folded(column: str):
-        marks = F.filter(F.split(tx.only(F.col(column), controls), ""), lambda c: c != "")
-        start = F.struct(F.lit("").alias("open"), F.lit(0).alias("orphans"))
-
-        def step(state, c):
-            # Open scopes as a string: E for embeddings, I for isolates.
-            kind = F.when(F.contains(F.lit("‪‫‭‮‬"), c), "E").otherwise("I")
-            is_end = c.isin("‬", "⁩")
-            at = F.length(state["open"]) - F.instr(F.reverse(state["open"]), kind) + 1
-            found = F.instr(state["open"], kind) > 0
-            opened = F.when(~is_end, F.concat(state["open"], kind)).when(found, F.substring(state["open"], F.lit(1), at - 1)).otherwise(state["open"])
-            return F.struct(opened.alias("open"), (state["orphans"] + F.when(is_end & ~found, 1).otherwise(0)).alias("orphans"))
-
-        return F.aggregate(marks, start, step)
-
-    before, after = folded("cover"), folded("marked")
-    return F.greatest(F.length(after["open"]) - F.length(before["open"]), F.lit(0)), F.greatest(after["orphans"] - before["orphans"], F.lit(0))
+def bidi_balance(pairs: DataFrame) -> DataFrame:
+    """doc_id, added_unclosed, added_orphans, direction_marks, rtl_beside_neutrals, verdict: direction scopes that a copy leaves open beyond its
+    cover's, closings without one, and marks from right to left that were put in beside white space or punctuation."""
+    rows = pairing.measured(pairs, "checks").where("failure IS NULL")
+    verdict = F.when(F.col("unclosed") > 0, "conspicuous").when((F.col("rtl_beside_neutrals") > 0) | (F.col("orphans") > 0), "degraded").otherwise("clean")
+    return rows.select("doc_id", F.col("unclosed").alias("added_unclosed"), F.col("orphans").alias("added_orphans"), "direction_marks", "rtl_beside_neutrals", verdict.alias("verdict"))
 
 
-def bidi_balance(pairs: DataFrame) -> DataFrame:
-    """doc_id, added_unclosed, added_orphans, verdict: direction scopes that a copy leaves open, and closings without one."""
-    unclosed, orphans = _scopes()
-    rows = aligned(pairs).where("failure IS NULL").select("doc_id", unclosed.alias("unclosed"), orphans.alias("orphans"))
-    verdict = F.when(F.col("unclosed") > 0, "conspicuous").when(F.col("orphans") > 0, "degraded").otherwise("clean")
-    return rows.select("doc_id", F.col("unclosed").cast("long").alias("added_unclosed"), F.col("orphans").cast("long").alias("added_orphans"), verdict.alias("verdict"))
+def reflowed(pairs: DataFrame) -> DataFrame:
+    """doc_id, cover_breaks, moved, gained, lost, marks_in_code: line breaks of covers and copies, and marks inside the cover's code."""
+    return pairing.measured(pairs, "layout").where("failure IS NULL").select("doc_id", "cover_breaks", "moved", "gained", "lost", "marks_in_code")
 
 
-# Risks of a reader's finding, by check and verdict.
-RISKS = {"reflow": {"conspicuous": 1.0, "degraded": 0.4}, "bidi_balance": {"conspicuous": 1.0, "degraded": 0.45}, "word_selection": {"degraded": 0.4}, "paste_safety": {"conspicuous": 1.0}}
+# Risks of a reader's finding, by check and verdict; and of marks from right to left beside neutral characters.
+RTL_RISK = 0.45
+RISKS = {"reflow": {"conspicuous": 1.0, "degraded": 0.4}, "bidi_balance": {"conspicuous": 1.0, "degraded": 0.35}, "word_selection": {"degraded": 0.4}, "paste_safety": {"conspicuous": 1.0}}
 
 
 def assessed(pairs: DataFrame, mission: str = "conceal") -> DataFrame:
@@ -184,16 +119,12 @@ def assessed(pairs: DataFrame, mission: str = "conceal") -> DataFrame:
     check that ran; a distribution can't be judged by fewer than LEAST_MARKS marks, nor a density without a place. With a check that
     didn't run the reader's verdict is indeterminate. The largest risk counts, not a mean.
     """
-    from . import reflow
-
-    rows = reflow.laid_out(aligned(pairs).select("doc_id", "cover", "marked", "n", "failure", "insertions", "substitutions"))
-    (unclosed, orphans), (words, broken, mixed) = _scopes(), _words()
-    rows = rows.select("*", unclosed.alias("unclosed"), orphans.alias("orphans"), words.alias("words"), broken.alias("broken"), mixed.alias("mixed"), (F.col("insertions") + F.col("substitutions")).alias("m"))
+    rows = pairing.measured(pairs, "checks", "layout").withColumn("m", F.col("insertions") + F.col("substitutions"))
     paired, m, n = F.col("failure").isNull(), F.col("m"), F.col("n")
     graded = lambda worst, bad: F.when(paired, F.when(worst, "conspicuous").when(bad, "degraded").otherwise("clean"))
     ceiling = dict(cs.MISSIONS)[mission]
     rows = rows.withColumns({
-        "reflow": graded(F.col("moved") > 0, F.col("gained") + F.col("lost") > 0), "bidi_balance": graded(F.col("unclosed") > 0, F.col("orphans") > 0),
+        "reflow": graded(F.col("moved") > 0, F.col("gained") + F.col("lost") > 0), "bidi_balance": graded(F.col("unclosed") > 0, (F.col("orphans") > 0) | (F.col("rtl_beside_neutrals") > 0)),
         "word_selection": graded(F.col("broken") > 0, F.col("mixed") > 0), "paste_safety": graded(F.col("marks_in_code") > 0, F.lit(False)),
         "ks": F.when(paired & (m >= LEAST_MARKS), F.col("spread")),
         "fill": F.when(paired & (n > 0) & (m <= n), m / n),
@@ -204,7 +135,9 @@ def assessed(pairs: DataFrame, mission: str = "conceal") -> DataFrame:
         r = F.lit(0.0)
         for verdict, value in RISKS[check].items():
             r = F.when(F.col(check) == verdict, F.lit(value)).otherwise(r)
-        return F.when(F.col(check) == "conspicuous", word_risk).otherwise(r) if check == "word_selection" else r
+        if check == "word_selection":
+            return F.when(F.col(check) == "conspicuous", word_risk).otherwise(r)
+        return F.when((F.col(check) == "degraded") & (F.col("rtl_beside_neutrals") > 0), F.lit(RTL_RISK)).otherwise(r) if check == "bidi_balance" else r
 
     each = F.array(*[F.struct(risk(c).alias("risk"), F.lit(-k).alias("order"), F.lit(c).alias("check")) for k, c in enumerate(RISKS)])
     rank = F.greatest(*[F.when(F.col(c) == "conspicuous", 2).when(F.col(c) == "degraded", 1).otherwise(0) for c in RISKS])

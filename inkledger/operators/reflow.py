@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
 
 from ..functions import charsets as cs
-from . import codec
 
 WIDTH = 80
 # Break classes; characters of each, the first list that has one counts; and ranges of characters that break on both sides and are two columns wide.
@@ -92,14 +89,11 @@ def wraps(codes: np.ndarray, breaks: np.ndarray, width: int = WIDTH) -> list[int
     return out
 
 
-def compared(cover: str, marked: str, width: int = WIDTH) -> tuple[int, int, int, int]:
+def compared(one: np.ndarray, two: np.ndarray, in_cover: np.ndarray, width: int = WIDTH) -> tuple[int, int, int, int]:
     """Breaks of the cover at a width, how many are elsewhere in the copy, and opportunities gained and lost; places in terms of the cover.
 
-    For pairs that differ by controls of the copy and by characters put in others' place.
+    in_cover: the cover's place of each character of the copy, and of its end.
     """
-    one, two = codes_of(cover), codes_of(marked)
-    controls = _tables()[3]
-    in_cover = np.concatenate(([0], np.cumsum(~controls[two])))
     before, after = opportunities(one), opportunities(two)
     was, now = np.unique(before), np.unique(in_cover[after])
     lines, moved = wraps(one, before, width), [int(in_cover[k]) for k in wraps(two, after, width)]
@@ -107,49 +101,9 @@ def compared(cover: str, marked: str, width: int = WIDTH) -> tuple[int, int, int
     return len(lines), apart, len(np.setdiff1d(now, was)), len(np.setdiff1d(was, now))
 
 
-def marks_in_code(text: str) -> int:
-    """Controls inside fences and code spans."""
-    return sum(sum(map(text[low:high].count, cs.CONTROL)) for low, high, kind in codec.protected(text) if kind != "maths")
-
-
-def places_of(codes: np.ndarray) -> np.ndarray:
-    """Places in the cover of a copy's marks, controls and Cyrillic look-alikes, in order."""
-    controls = _tables()[3]
-    at = np.flatnonzero(controls[codes] | np.isin(codes, _CYRILLIC))
-    inserted = controls[codes[at]]
-    return at - (np.cumsum(inserted) - inserted)
-
-
-_CYRILLIC = np.array([ord(c) for c in cs.CYRILLIC_LOOKALIKES], dtype=np.uint32)
-
-
 def unevenness(places: np.ndarray, n: int) -> float:
     """The largest distance between the marks' places and an even spread over n places."""
     if not len(places) or not n:
         return 0.0
     i, x = np.arange(len(places)), (places + 1) / n
     return max(0.0, float(((i + 1) / len(places) - x).max()), float((x - i / len(places)).max()))
-
-
-def laid_out(pairs: DataFrame) -> DataFrame:
-    """pairs (with cover, marked) with cover_breaks, moved, gained, lost, marks_in_code and spread (unevenness of the marks).
-
-    One Arrow pass, nothing is shuffled.
-    """
-    from pyspark.sql import functions as F
-
-    names = ("cover_breaks", "moved", "gained", "lost", "marks_in_code")
-    schema = pairs.withColumns({n: F.lit(0).cast("long") for n in names} | {"spread": F.lit(0.0)}).schema
-    at_cover, at_marked = pairs.columns.index("cover"), pairs.columns.index("marked")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            both = list(zip(batch.column(at_cover).to_pylist(), batch.column(at_marked).to_pylist(), strict=True))
-            rows = [(*compared(cover, marked), marks_in_code(marked)) for cover, marked in both]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            spread = [unevenness(places_of(codes_of(marked)), len(cover)) for cover, marked in both]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns), pa.array(spread, pa.float64())], names=schema.names)
-
-    return pairs.mapInArrow(run, schema)

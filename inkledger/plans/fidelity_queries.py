@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
-from ..operators import codec, reflow
+from ..operators import codec
 from ..operators import fidelity as fi
 from ..operators.regions import regions_sql
 from ..sources.tables import MARKED_SQL
@@ -65,7 +65,13 @@ def fidelity_density(spark, sf_dir):
 
 @query(f"WITH {MARKS_SQL} SELECT doc_id, 'U+' || lpad(printf('%X', unicode(character)), 4, '0') AS codepoint, count(*) AS n, CAST(min(x) AS BIGINT) AS first_at FROM marks GROUP BY ALL")
 def fidelity_audit(spark, sf_dir):
-    return fi.audit(fi.marks(view(spark, sf_dir)))
+    return fi.audit(fi.marks(view(spark, sf_dir))).drop("rank")
+
+
+@query(f"WITH {MARKS_SQL}, counted AS (SELECT doc_id, 'U+' || lpad(printf('%X', unicode(character)), 4, '0') AS codepoint, count(*) AS n, CAST(min(x) AS BIGINT) AS first_at FROM marks GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, codepoint) AS rank FROM counted) SELECT * FROM ranked WHERE rank <= 2")
+def fidelity_audit_most(spark, sf_dir):
+    """The two code points that each copy added most."""
+    return fi.audit(fi.marks(view(spark, sf_dir)), 2)
 
 
 _W = "[\\p{L}\\p{N}_]"
@@ -85,14 +91,55 @@ _SCOPED = "CASE doc_id % 4 WHEN 0 THEN '‪' || cover WHEN 1 THEN cover || '‬'
 def fidelity_bidi_balance(spark, sf_dir):
     k, c = F.col("doc_id") % 4, F.col("cover")
     text = F.when(k == 0, F.concat(F.lit("‪"), c)).when(k == 1, F.concat(c, F.lit("‬"))).when(k == 2, F.concat(F.lit("⁦"), c, F.lit("⁩"))).otherwise(F.concat(F.lit("⁧"), c, F.lit("‬")))
-    return fi.bidi_balance(view(spark, sf_dir).withColumn("marked", text))
+    return fi.bidi_balance(view(spark, sf_dir).withColumn("marked", text)).select("doc_id", "added_unclosed", "added_orphans", "verdict")
+
+
+_RTL = "CASE WHEN kind = 0 THEN replace(cover, 'e', 'e‏') ELSE marked END"
+_BESIDE = f"CASE WHEN kind = 0 THEN len(regexp_extract_all(cover, 'e[^\\p{{L}}\\p{{N}}]')) ELSE {sql_count('marked', '‏')} END"
+_ADDED = f"CASE WHEN kind = 0 THEN {sql_count('cover', 'e')} ELSE {sql_count('marked', '‎‏')} END"
+
+
+@query(
+    f"""WITH {MARKED_SQL}, b AS (SELECT doc_id, CAST({_ADDED} AS BIGINT) AS direction_marks, CAST({_BESIDE} AS BIGINT) AS rtl_beside_neutrals, CAST(CASE WHEN (doc_id // 8) % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS added_unclosed, CAST(CASE WHEN (doc_id // 8) % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS added_orphans FROM marked WHERE kind <> 7)
+SELECT *, CASE WHEN added_unclosed > 0 THEN 'conspicuous' WHEN rtl_beside_neutrals > 0 OR added_orphans > 0 THEN 'degraded' ELSE 'clean' END AS verdict FROM b"""
+)
+def fidelity_direction_marks(spark, sf_dir):
+    """Marks from right to left beside neutral characters in marked copies, some of them in scopes left open or closed twice."""
+    rows, scope = view(spark, sf_dir), F.floor(F.col("doc_id") / 8) % 3
+    text = F.when(F.col("kind") == 0, F.replace("cover", F.lit("e"), F.lit("e‏"))).otherwise(F.col("marked"))
+    return fi.bidi_balance(rows.withColumn("marked", F.when(scope == 1, F.concat(F.lit("⁧"), text)).when(scope == 2, F.concat(text, F.lit("‬"))).otherwise(text)))
+
+
+#: Covers that hold marks already, with more of them, fewer, other letters, or more or less text.
+_AGAIN = "CASE (doc_id // 8) % 5 WHEN 0 THEN replace(marked, ', ', ', ​‌') WHEN 1 THEN translate(marked, '‌⁠', '') WHEN 2 THEN translate(marked, 'aeo', 'аео') WHEN 3 THEN marked || '​!' ELSE substr(marked, 1, length(marked) - 1) END"
+_CELL = f"'[{cs.CONTROL}]*[^{cs.CONTROL}]'"
+_LEFT = "list_reduce(string_split(mm, ''), lambda rem, ch: CASE WHEN ch <> '' AND starts_with(rem, ch) THEN substr(rem, 2) ELSE rem END, cc)"
+REALIGN_SQL = f"""{MARKED_SQL}, again AS (SELECT doc_id, marked AS cover, {_AGAIN} AS again FROM marked),
+cells AS (SELECT *, regexp_extract_all(cover || chr(57344), {_CELL}) AS gc, regexp_extract_all(again || chr(57344), {_CELL}) AS gm FROM again),
+gaps AS (SELECT doc_id, k, left(gc[k], -1) AS cc, left(gm[k], -1) AS mm FROM (SELECT doc_id, gc, gm, unnest(range(1, least(len(gc), len(gm)) + 1)) AS k FROM cells) WHERE length(gc[k]) > 1),
+missing AS (SELECT doc_id, min(k) AS f FROM gaps WHERE cc <> mm AND {_LEFT} <> '' GROUP BY doc_id),
+judged AS (SELECT c.*, CASE WHEN f < len(gm) THEN 'cover_control_missing' WHEN len(gm) > len(gc) THEN 'visible_content_added' WHEN len(gm) < len(gc) OR f IS NOT NULL THEN 'cover_content_missing' END AS failure FROM cells c LEFT JOIN missing m ON c.doc_id = m.doc_id)"""
+
+
+@query(
+    f"""WITH {REALIGN_SQL} SELECT doc_id, CAST(length(cover) AS BIGINT) AS n, failure, CAST(CASE WHEN failure IS NULL THEN {sql_count("again", cs.CONTROL)} - {sql_count("cover", cs.CONTROL)} ELSE -1 END AS BIGINT) AS insertions,
+CAST(CASE WHEN failure IS NULL THEN len([1 for z in list_zip(gc, gm) if right(z[1], 1) <> right(z[2], 1)]) ELSE -1 END AS BIGINT) AS substitutions FROM judged"""
+)
+def fidelity_align_marked_covers(spark, sf_dir):
+    """Pairing with covers that hold controls and look-alikes themselves."""
+    step, m = F.floor(F.col("doc_id") / 8) % 5, F.col("marked")
+    text = (
+        F.when(step == 0, F.replace(m, F.lit(", "), F.lit(", ​‌"))).when(step == 1, F.translate(m, "‌⁠", "")).when(step == 2, F.translate(m, "aeo", "аео"))
+        .when(step == 3, F.concat(m, F.lit("​!"))).otherwise(F.substring(m, F.lit(1), F.length(m) - 1))
+    )
+    rows = fi.aligned(view(spark, sf_dir).select("doc_id", m.alias("cover"), text.alias("marked")))
+    return rows.select("doc_id", "n", "failure", F.coalesce("insertions", F.lit(-1)).alias("insertions"), F.coalesce("substitutions", F.lit(-1)).alias("substitutions"))
 
 
 @query()
 def fidelity_reflow(spark, sf_dir):
     """Line breaks at 80 columns in cover and copy, how many moved, and break opportunities gained and lost."""
-    rows = reflow.laid_out(fi.aligned(view(spark, sf_dir)).where("failure IS NULL").select("doc_id", "cover", "marked"))
-    return rows.select("doc_id", "cover_breaks", "moved", "gained", "lost")
+    return fi.reflowed(view(spark, sf_dir)).drop("marks_in_code")
 
 
 _HELD = f"CASE WHEN substr(marked, lows[i], 1) IN ('`', '~') THEN {sql_count('substr(marked, lows[i], highs[i] - lows[i])', cs.CONTROL)} ELSE 0 END"

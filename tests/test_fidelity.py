@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from inkledger.functions import charsets as cs
-from inkledger.operators import fidelity, reflow
+from inkledger.operators import fidelity, pairing, reflow
 from inkledger.sources.tables import marked as marked_view
 
 LETTERS = "ab -\n　中​⁠\xad‌\t‎\r– "
@@ -74,15 +74,21 @@ def test_breaks_and_wraps(text, width):
     assert reflow.wraps(codes, reflow.opportunities(codes), width) == plain_wraps(text, width)
 
 
+def laid_out(cover, marked, width):
+    one, two = reflow.codes_of(cover), reflow.codes_of(marked)
+    return reflow.compared(one, two, pairing.paired_codes(one, two).in_cover, width)
+
+
 def test_marks_that_add_or_move_breaks():
-    assert reflow.compared("one two", "one two") == (0, 0, 0, 0)
+    compared = lambda cover, marked, width=80: laid_out(cover, marked, width)
+    assert compared("one two", "one two") == (0, 0, 0, 0)
     # A zero-width space in a word adds a place to break, a joiner behind a space takes one away.
-    assert reflow.compared("onetwo three", "one\u200btwo three")[2:] == (1, 0)
-    assert reflow.compared("one two", "one \u2060two")[2:] == (0, 1)
+    assert compared("onetwo three", "one\u200btwo three")[2:] == (1, 0)
+    assert compared("one two", "one \u2060two")[2:] == (0, 1)
     # Spaces of no width after each word move nothing at this width.
     cover = "word " * 40
-    assert reflow.compared(cover, cover.replace(" ", " \u200b"), 80)[1] == 0
-    assert reflow.compared(cover, cover.replace(" ", " \u2060"), 80)[1] > 0
+    assert compared(cover, cover.replace(" ", " \u200b"), 80)[1] == 0
+    assert compared(cover, cover.replace(" ", " \u2060"), 80)[1] > 0
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +100,7 @@ def test_roll_up_against_its_parts(spark, pairs):
     whole = {r.doc_id: r for r in fidelity.assessed(pairs).collect()}
     parts = {name: {r.doc_id: r for r in rows.collect()} for name, rows in {
         "aligned": fidelity.aligned(pairs), "words": fidelity.word_selection(pairs), "bidi": fidelity.bidi_balance(pairs), "spread": fidelity.distribution(fidelity.marks(pairs)),
-        "density": fidelity.density(pairs).where("mission = 'conceal'"), "lines": reflow.laid_out(pairs.select("doc_id", "cover", "marked")),
+        "density": fidelity.density(pairs).where("mission = 'conceal'"), "lines": fidelity.reflowed(pairs),
     }.items()}
     order = {"clean": 0, "degraded": 1, "conspicuous": 2}
     seen = set()
@@ -111,7 +117,7 @@ def test_roll_up_against_its_parts(spark, pairs):
         verdicts = {"reflow": reflowed, "bidi_balance": parts["bidi"][i].verdict, "word_selection": words.verdict, "paste_safety": "conspicuous" if lines.marks_in_code else "clean"}
         worst = max(verdicts.values(), key=order.get)
         assert r.reader_verdict == ("indeterminate" if missing else worst)
-        risks = {c: 0.5 + 0.5 * words.broken / words.words if c == "word_selection" and v == "conspicuous" else fidelity.RISKS[c].get(v, 0.0) for c, v in verdicts.items()}
+        risks = {c: 0.5 + 0.5 * words.broken / words.words if c == "word_selection" and v == "conspicuous" else fidelity.RTL_RISK if c == "bidi_balance" and parts["bidi"][i].rtl_beside_neutrals else fidelity.RISKS[c].get(v, 0.0) for c, v in verdicts.items()}
         assert abs(r.reader_risk - max(risks.values())) < 1e-12
         assert (r.worst_check is None) == (r.reader_risk == 0) and (r.worst_check is None or risks[r.worst_check] == max(risks.values()))
         uneven = parts["spread"][i].ks if m >= 5 and not parts["spread"][i].uniform else 0.0
