@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, hot_join, made_so_far, stored, sweep, whole
+from .common import bounded_batches, hot_join, made_so_far, portions, stored, sweep, whole
 
 #: Pairs of ids that are broadcast with their counts; with more, the most frequent are, fewer than FREQUENT, and the rest is joined by pair.
 MOST_PAIRS, FREQUENT = 500_000, 100_000
 #: Units remembered by a worker in each of two generations, and those of them that are encoded in one go.
-UNITS, GROUP = 100_000, 256
+UNITS, GROUP = 60_000, 256
+#: Documents and megabytes of text, down to single documents, whose units are listed together.
+PORTION = 600, 2
 _NUMBERS = T.ArrayType(T.IntegerType(), False)
 _UNIT = T.StructType([T.StructField(c, _NUMBERS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("units", _NUMBERS, False)])
@@ -46,8 +48,13 @@ class Encoders:
     """
 
     def __init__(self, a_path: str, b_path: str):
+        import os
+
         import pyarrow as pa
         import sentencepiece
+
+        # Tasks are the threads here.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -155,7 +162,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
         both = encoders(a_path, b_path)
         kind = lambda field: pa.list_(pa.field("element", pa.int32(), False)) if isinstance(field.dataType, T.ArrayType) else pa.int64()
         fields = [[pa.field(f.name, kind(f), f.nullable) for f in column.dataType.elementType] for column in TOKENS]
-        for batch in batches:
+        for batch in portions(batches, *PORTION):
             known, index, bounds = both.units(batch.column(1).to_pylist())
             lists = []
             for which in (0, 1):
@@ -230,23 +237,22 @@ def _groups(unit: Column, ends: Column, shared: Column) -> Column:
 
 
 def _aligned_unit(unit: Column, size_b: int, kind: str) -> Column:
-    """n_a, n_b, n_groups, groups and links of a unit's tokens."""
-
-    count = lambda c: F.size(unit[c]).cast("long")
-    result = lambda n_groups, groups, links: F.struct(count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), n_groups.cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
+    """counts (of tokens of the first tokenizer times 2**32, and of the second), groups and links of a unit's tokens."""
+    counts = F.shiftleft(F.size(unit["a_ids"]).cast("long"), 32) + F.size(unit["b_ids"])
+    result = lambda groups, links: F.struct(counts.alias("counts"), groups.alias("groups"), links.alias("links"))
     # Most units: every token of one tokenizer is one of the other.
     alike = result(
-        F.size(unit["a_ids"]), F.array_join(F.zip_with(unit["a_ids"], unit["b_ids"], lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";"),
+        F.array_join(F.zip_with(unit["a_ids"], unit["b_ids"], lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";"),
         F.zip_with(unit["a_ids"], unit["b_ids"], lambda a, b: a.cast(kind) * F.lit(size_b).cast(kind) + b.cast(kind)),
     )
 
     def all_of(ends: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda m: _met(ends, m))
-        common = F.size(F.array_intersect(unit["a_ends"], unit["b_ends"]))
-        return result(common, _let(places, lambda shared: _groups(unit, ends, shared)), _links(unit, ends, size_b, kind))
+        return result(_let(places, lambda shared: _groups(unit, ends, shared)), _links(unit, ends, size_b, kind))
 
     both = (F.size(unit["a_ids"]) > 0) & (F.size(unit["b_ids"]) > 0)
-    return F.when(both & (unit["a_ends"] == unit["b_ends"]), alike).when(both, _let(_merged(unit), all_of))
+    common = F.size(F.array_intersect(unit["a_ends"], unit["b_ends"]))
+    return F.when(both & (common == F.size(unit["a_ids"])) & (common == F.size(unit["b_ids"])), alike).when(both, _let(_merged(unit), all_of))
 
 
 def aligned(tokens: DataFrame, size_b: int, kind: str = "long") -> DataFrame:
@@ -256,13 +262,16 @@ def aligned(tokens: DataFrame, size_b: int, kind: str = "long") -> DataFrame:
     """
 
     def document(doc: Column, each: Column) -> Column:
-        total = lambda c: F.aggregate(doc["units"], F.lit(0).cast("long"), lambda n, i: n + F.get(each, i)[c]).alias(c)
+        counts = F.aggregate(doc["units"], F.lit(0).cast("long"), lambda n, i: n + F.get(each, i)["counts"]).alias("counts")
         of = lambda c: F.transform(doc["units"], lambda i: F.get(each, i)[c])
         digest = F.when(F.size(doc["units"]) > 0, F.sha2(F.array_join(of("groups"), ";"), 256)).otherwise(F.lit(""))
-        return F.struct(doc["doc_id"].alias("doc_id"), total("n_a"), total("n_b"), total("n_groups"), digest.alias("groups_sha256"), F.flatten(of("links")).alias("links"))
+        return F.struct(doc["doc_id"].alias("doc_id"), counts, digest.alias("groups_sha256"), F.flatten(of("links")).alias("links"))
 
     units = F.transform("units", lambda unit: _aligned_unit(unit, size_b, kind))
-    return tokens.select(F.inline(_let(units, lambda each: F.transform("docs", lambda doc: document(doc, each)))))
+    rows = tokens.select(F.inline(_let(units, lambda each: F.transform("docs", lambda doc: document(doc, each)))))
+    n_a, n_b = F.shiftright("counts", 32), F.col("counts").bitwiseAND(F.lit((1 << 32) - 1))
+    # Every end that either has ends a link, and those that both have a group too.
+    return rows.select("doc_id", n_a.alias("n_a"), n_b.alias("n_b"), (n_a + n_b - F.size("links")).alias("n_groups"), "groups_sha256", "links")
 
 
 def cross_aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
