@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bounded_batches, hot_join, made_so_far, mix, partitions, portions, powers, stored, sweep, whole
+from .common import U, bounded_batches, hot_join, made_so_far, mix, partitions, portions, stored, sweep, whole
 from .components import components
 
 WORDS = 5
@@ -44,6 +44,18 @@ class _Blank:
     lower[65:91] += 32
 
 
+def word_hashes(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, distinct words of a batch being hashed once. Not a polynomial modulo 2**64: under those
+    some unequal words of a thousand letters are equal whatever the base."""
+    import pyarrow as pa
+    import xxhash
+
+    array = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters)])
+    coded = array.dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=U, count=len(coded.dictionary))
+    return mix(hashes)[np.asarray(coded.indices)]
+
+
 def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text in a row, and the bounds of each text in them.
 
@@ -67,8 +79,7 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=U), np.zeros(n + 1, dtype=np.int64)
     sizes = ends - starts
     at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    letters = (_Blank.lower[data[at]].astype(U) + U(1)) * powers(int(sizes.max()))[at - np.repeat(starts, sizes)]
-    words = mix(np.add.reduceat(letters, np.cumsum(sizes) - sizes) + sizes.astype(U))
+    words = word_hashes(_Blank.lower[data[at]], np.concatenate(([0], np.cumsum(sizes))))
     own = np.searchsorted(offsets, starts, side="right") - 1
     counts = np.bincount(own, minlength=n)
     full = np.zeros(0, dtype=U)

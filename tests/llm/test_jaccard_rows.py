@@ -1,6 +1,7 @@
 """Rows of repeated and null ids, hot sets, and sets whose hashes meet."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkledger.llm import common, jaccard
@@ -74,3 +75,14 @@ def test_only_what_the_result_reads_is_left(spark):
     got = jaccard.linked(spark.createDataFrame(rows, DOCS))
     assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["named", "sets"]
     assert got.count() == len(rows)
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_words_that_a_polynomial_hash_takes_for_one_another(spark, letters):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(letters))
+    two = one.translate(str.maketrans("ab", "ba"))
+    values, bounds = jaccard.shingle_sets(pa.array([one, two, one.upper()]))
+    assert values[0] != values[1] and values[0] == values[2] and bounds.tolist() == [0, 1, 2, 3]
+    docs = spark.createDataFrame([(1, one), (2, two), (3, "another text"), (4, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.linked(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert {r.doc_id for r in jaccard.one_of_each(docs).collect()} == {1, 2, 3}
