@@ -178,6 +178,66 @@ def file_export(spark, sf_dir):
     return plain(spark, sf_dir).mapInArrow(export, "doc_id long, target string, heading_kept boolean, words_found long")
 
 
+#: A document of all block kinds around the words of a text, as Markdown: `@` is where the words are put, `@1` to `@9` single ones.
+_STRUCTURE = """# Head @1
+
+All **words *in* order**: @ and `@2` with [@3](http://a.example/@3), $@4_1$.
+
+- first @5
+- second @6
+
+1. one @7
+
+   - inner @8
+
+     deeper
+
+2. two
+
+> said @9
+>
+> - again
+
+```python
+if @1:
+    return "@2"
+```
+
+| @3 | b |
+| --- | --- |
+| *@4* | x |
+
+---
+
+$$
+@5 = 1
+$$"""
+_PARTS = re.split(r"(@\d?)", _STRUCTURE)
+_WORDS = "[\\p{L}\\p{N}]+"
+_STRUCTURED_TO = ("html", "tex", "org", "rst", "adoc", "typst")
+_STRUCTURED_SQL = " || ".join("array_to_string(w, ' ')" if x == "@" else f"coalesce(w[{x[1]}], 'x')" if x.startswith("@") else "'" + x.replace("'", "''") + "'" for x in _PARTS if x)
+
+
+@query(f"WITH {PLAIN_SQL}, s AS (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS w FROM docs) SELECT doc_id, unnest(['" + "', '".join(_STRUCTURED_TO) + f"']) AS target, md5({_STRUCTURED_SQL}) AS text_md5 FROM s")
+def file_structures(spark, sf_dir):
+    """All words of each text in a document of headings, nested lists, a quote, code, a table and maths, exported to six formats and imported again."""
+    w = F.col("w")
+    parts = [F.array_join(w, " ") if x == "@" else F.coalesce(F.get(w, F.lit(int(x[1]) - 1)), F.lit("x")) if x.startswith("@") else F.lit(x) for x in _PARTS if x]
+    docs = plain(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)).alias("w")).select("doc_id", F.concat(*parts).alias("text"))
+
+    def back(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for to in _STRUCTURED_TO:
+                    out.append((doc_id, to, hashlib.md5(markup.IMPORTERS[_BACK[to]](markup.exported(text, to)).encode()).hexdigest()))
+            yield _batch(out, "doc_id target text_md5", (pa.int64(), pa.string(), pa.string()))
+
+    return docs.mapInArrow(back, "doc_id long, target string, text_md5 string")
+
+
 @query(f"WITH {PLAIN_SQL} SELECT doc_id, k AS kind, md5(text) AS recovered_md5, TRUE AS stripped, TRUE AS text_same, CASE WHEN k IN ('docx', 'odt') THEN contains(text, 'a') END AS written_back FROM docs, (SELECT unnest(['docx', 'odt', 'png', 'svg']) AS k)")
 def file_metadata(spark, sf_dir):
     """Each whole text as a payload into and out of docx, odt, png and svg metadata, stripped again; office text rewritten in place."""

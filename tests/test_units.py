@@ -76,7 +76,7 @@ def test_invisible_sets():
 def test_importers():
     assert markup.from_html("<h1>T</h1><p>a <b>b</b></p><script>x</script>") == "# T\n\na **b**"
     assert markup.from_csv('a,b\n1,"x,y"') == "| a | b |\n| --- | --- |\n| 1 | x,y |"
-    assert markup.from_org("* Head :tag:\ntext") == "# Head\ntext"
+    assert markup.from_org("* Head :tag:\ntext") == "# Head\n\ntext"
     assert "```python\nx = 1\n```" in markup.from_ipynb('{"cells": [{"cell_type": "code", "source": ["x = 1"]}]}')
     with pytest.raises(ValueError, match="no_notebook"):
         markup.from_ipynb("{}")
