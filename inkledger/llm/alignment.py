@@ -19,9 +19,9 @@ from .common import bounded_batches, hot_join, made_so_far, portions, stored, sw
 #: Pairs of ids that are broadcast with their counts; with more, the most frequent are, fewer than FREQUENT, and the rest is joined by pair.
 MOST_PAIRS, FREQUENT = 500_000, 100_000
 #: Units remembered by a worker in each of two generations, and those of them that are encoded in one go.
-UNITS, GROUP = 60_000, 256
+UNITS, GROUP = 80_000, 256
 #: Documents and megabytes of text, down to single documents, whose units are listed together.
-PORTION = 600, 2
+PORTION = 1000, 3
 _NUMBERS = T.ArrayType(T.IntegerType(), False)
 _UNIT = T.StructType([T.StructField(c, _NUMBERS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("units", _NUMBERS, False)])

@@ -64,6 +64,41 @@ def characters(docs: DataFrame, column: str = "marked", id_col: str = "doc_id")
     return rows.groupBy(id_col, "character").agg(F.count("*").alias("n"))
 
 
+def compared(pairs: DataFrame, left: str = "cover", right: str = "marked", id_col: str = "doc_id") -> DataFrame:
+    """id, codepoint, left_n, right_n, change: code points that occur more or less often in one of two texts than in the other, in each row.
+
+    Row by row in one Arrow pass: rows of one id stay apart, nothing is shuffled, and only differences come back. Null texts are empty.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, codes, counts = [], [], []
+            for k, both in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if both[0] == both[1]:
+                    continue
+                of = [np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True) for t in both]
+                met = np.union1d(of[0][0], of[1][0])
+                n = np.zeros((2, len(met)), dtype=np.int64)
+                for side, (code, count) in enumerate(of):
+                    n[side, np.searchsorted(met, code)] = count
+                unlike = np.flatnonzero(n[0] != n[1])
+                ids.append(np.full(len(unlike), k))
+                codes.append(met[unlike])
+                counts.append(n[:, unlike])
+            at = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+            n = np.concatenate(counts, axis=1) if counts else np.zeros((2, 0), dtype=np.int64)
+            names = pa.array([f"U+{c:04X}" for x in codes for c in x.tolist()], pa.string())
+            change = pa.array(np.where(n[1] > n[0], "gained", "lost").tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), names, pa.array(n[0]), pa.array(n[1]), change], names=[id_col, "codepoint", "left_n", "right_n", "change"])
+
+    rows = pairs.select(id_col, F.coalesce(left, F.lit("")).alias("_left"), F.coalesce(right, F.lit("")).alias("_right"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, codepoint string, left_n long, right_n long, change string")
+
+
 def bits_per_character(text: str) -> float:
     """Shannon entropy of a text's code points; 0 of an empty text."""
     import numpy as np

@@ -19,11 +19,28 @@ CONFIGS = (
 THRESHOLDS = {0.25: "4000000000000000", 0.5: "8000000000000000"}
 TAU = 5.0
 # Pairs of synonyms, the canonical word first.
-SYNONYMS = (
-    "big large|small little|fast quick|begin start|end finish|buy purchase|help assist|show display|near close|whole entire|"
-    "often frequently|also too|use utilize|make create|keep retain|need require|get obtain|want wish|many numerous|so thus"
+PAIRS = (
+    ("big", "large"),
+    ("small", "little"),
+    ("fast", "quick"),
+    ("begin", "start"),
+    ("end", "finish"),
+    ("buy", "purchase"),
+    ("help", "assist"),
+    ("show", "display"),
+    ("near", "close"),
+    ("whole", "entire"),
+    ("often", "frequently"),
+    ("also", "too"),
+    ("use", "utilize"),
+    ("make", "create"),
+    ("keep", "retain"),
+    ("need", "require"),
+    ("get", "obtain"),
+    ("want", "wish"),
+    ("many", "numerous"),
+    ("so", "thus"),
 )
-PAIRS = [tuple(p.split()) for p in SYNONYMS.split("|")]
 WORDS = [w for p in PAIRS for w in p]
 
 

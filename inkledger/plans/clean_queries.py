@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import attachments as at
 from ..operators import clean as cl
 from ..operators import forensic as fo
-from ..sources.tables import read
+from ..sources.tables import MARKED_SQL, read
 from .forensic_queries import REPORT_SQL, longs, sql_count, view
 from .query import query
 
@@ -89,18 +89,14 @@ def normalize_text(spark, sf_dir):
     return rows.select("doc_id", F.col("strict_refusal").alias("refusal"), F.md5("strict").alias("text_md5"), F.md5("normalized").alias("lossy_md5"))
 
 
-@query(f"""WITH {REPORT_SQL}, h AS (SELECT doc_id, side, c, count(*) AS n FROM (SELECT doc_id, 'a' AS side, unnest(string_split(cover, '')) AS c FROM marked UNION ALL SELECT doc_id, 'b', unnest(string_split(marked, '')) FROM marked) WHERE c <> '' GROUP BY ALL),
-p AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.c, b.c) AS c, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM (SELECT * FROM h WHERE side = 'a') a FULL JOIN (SELECT * FROM h WHERE side = 'b') b ON a.doc_id = b.doc_id AND a.c = b.c)
-SELECT doc_id, 'U+' || lpad(printf('%X', unicode(c)), 4, '0') AS codepoint, CAST(na AS BIGINT) AS left_n, CAST(nb AS BIGINT) AS right_n, CASE WHEN nb > na THEN 'gained' ELSE 'lost' END AS change FROM p WHERE na <> nb""")
+@query(
+    f"""WITH {MARKED_SQL}, h AS (SELECT doc_id, list_histogram(string_split(cover, '')) AS a, list_histogram(string_split(marked, '')) AS b FROM marked WHERE cover <> marked),
+k AS (SELECT doc_id, a, b, unnest(list_distinct(list_concat(map_keys(a), map_keys(b)))) AS c FROM h),
+p AS (SELECT doc_id, c, CAST(coalesce(a[c], 0) AS BIGINT) AS left_n, CAST(coalesce(b[c], 0) AS BIGINT) AS right_n FROM k WHERE c <> '')
+SELECT doc_id, 'U+' || lpad(printf('%X', unicode(c)), 4, '0') AS codepoint, left_n, right_n, CASE WHEN right_n > left_n THEN 'gained' ELSE 'lost' END AS change FROM p WHERE left_n <> right_n"""
+)
 def compare_texts(spark, sf_dir):
-    docs = view(spark, sf_dir)
-    # Pairs that are equal can't differ in any code point: they are left out before anything is exploded.
-    docs = docs.where("cover <> marked")
-    a = fo.characters(docs, "cover").withColumnRenamed("n", "left_n")
-    b = fo.characters(docs, "marked").withColumnRenamed("n", "right_n")
-    both = a.join(b, ["doc_id", "character"], "full").fillna(0, ["left_n", "right_n"]).where("left_n <> right_n")
-    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.expr("ascii(character)")), 4, "0"))
-    return both.select("doc_id", code.alias("codepoint"), "left_n", "right_n", F.when(F.col("right_n") > F.col("left_n"), "gained").otherwise("lost").alias("change"))
+    return fo.compared(view(spark, sf_dir))
 
 
 _ESC = "replace(replace(replace(marked, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
