@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .functions import charsets as cs
-from .operators import canary, capacity, clean, codec, conceal, fidelity, file_commands, forensic, heavy, licenses, provenance, reflow, regions, sealing, wordmark
-from .sources import files
+from .operators import canary, capacity, clean, codec, conceal, fidelity, file_commands, forensic, heavy, licenses, provenance, regions, sealing, wordmark
+from .sources import files, images
 
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "analyze": forensic.reported,
@@ -40,6 +40,7 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "fidelity_word_selection": fidelity.word_selection,
     "fidelity_bidi_balance": fidelity.bidi_balance,
     "fidelity_audit": fidelity.audit,
+    "image_metadata": images.tables,
     "fidelity_reflow": fidelity.reflowed,
     "open_regions": regions.opened,
     "checksums": codec.checksums,

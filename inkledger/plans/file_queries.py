@@ -6,12 +6,13 @@ import hashlib
 import html as entities
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
 from ..sources import files as fl
-from ..sources import markup
+from ..sources import images, markup
 from ..sources.tables import read
 from .query import query
 from .wordmark_queries import PLAIN_SQL, plain
@@ -238,6 +239,57 @@ def file_structures(spark, sf_dir):
     return docs.mapInArrow(back, "doc_id long, target string, text_md5 string")
 
 
+def _image(kind: str, order: str, tags: list[tuple[int, str]], xmp: str) -> bytes:
+    """A picture of one of four kinds whose directory holds texts, in a byte order, with an XMP packet."""
+    entries, values, at = b"", b"", 8 + 2 + 12 * len(tags) + 4
+    for tag, value in tags:
+        raw = value.encode() + b"\0"
+        inside = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", at + len(values))
+        entries += struct.pack(order + "HHI", tag, 2, len(raw)) + inside
+        values += raw if len(raw) > 4 else b""
+    block = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, len(tags)) + entries + bytes(4) + values
+    packet = f"<x:xmpmeta><rdf:RDF><dc:title><rdf:Alt><rdf:li>{entities.escape(xmp, quote=False)}</rdf:li></rdf:Alt></dc:title></rdf:RDF></x:xmpmeta>".encode()
+    if kind == "tiff":
+        return block + packet
+    if kind == "png":
+        return fl._png([(b"IHDR", bytes(13)), (b"eXIf", block), (b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + packet), (b"IDAT", b"x"), (b"IEND", b"")])
+    if kind == "jpeg":
+        segment = lambda body: b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+        return b"\xff\xd8" + segment(b"Exif\0\0" + block) + segment(b"http://ns.adobe.com/xap/1.0/\0" + packet) + b"\xff\xda\xff\xd9"
+    body = b"".join(name + struct.pack("<I", len(x)) + x + b"\0" * (len(x) % 2) for name, x in ((b"VP8X", b"\x0c" + bytes(9)), (b"EXIF", block), (b"XMP ", packet)))
+    return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
+
+
+_KINDS_SQL = "CASE doc_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'tiff' WHEN 2 THEN 'png' ELSE 'webp' END"
+_FIRST_SQL = "(SELECT doc_id, array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+')[1:200], ' ') AS words, regexp_extract(text, '[\\p{L}\\p{N}]+') AS one FROM docs)"
+
+
+@query(f"WITH {PLAIN_SQL} SELECT doc_id, {_KINDS_SQL} AS format, CASE WHEN one <> '' THEN one END AS make, CASE WHEN words <> '' THEN md5(words) END AS artist_md5, CASE WHEN words <> '' THEN md5(words) END AS title_md5, TRUE AS stripped FROM {_FIRST_SQL}")
+def image_metadata(spark, sf_dir):
+    """The first words of each text in the tags and the XMP packet of an image, in either byte order, read back; and gone once it is stripped."""
+    words = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
+    docs = plain(spark, sf_dir).select("doc_id", F.array_join(F.slice(words, 1, 200), " ").alias("words"), F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("one"))
+
+    def made(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, data = [], []
+            for doc_id, words, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                image = _image(images.FORMATS[doc_id % 4], "<>"[doc_id // 4 % 2], [(0x010F, one), (0x013B, words)], words)
+                for step, content in (("full", image), ("bare", images.stripped(image))):
+                    paths.append(f"{doc_id}/{step}")
+                    data.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], names=["path", "content"])
+
+    rows = images.tables(docs.mapInArrow(made, "path string, content binary")).withColumn("doc_id", F.split("path", "/")[0].cast("long"))
+    artist = F.get(F.filter("tags", lambda t: t["name"] == "Artist"), F.lit(0))["value"]
+    shown = rows.where("path LIKE '%full'").select("doc_id", "format", "make", F.when(F.length(artist) > 0, F.md5(artist)).alias("artist_md5"), F.when(F.length("title") > 0, F.md5("title")).alias("title_md5"))
+    # A TIFF's packet lies outside its directories.
+    bare = rows.where("path LIKE '%bare'").select("doc_id", (F.col("make").isNull() & (F.size("tags") == 0) & (F.col("title").isNull() | (F.col("format") == "tiff")) & F.col("refusal").isNull()).alias("stripped"))
+    return shown.join(bare, "doc_id")
+
+
 @query(f"WITH {PLAIN_SQL} SELECT doc_id, k AS kind, md5(text) AS recovered_md5, TRUE AS stripped, TRUE AS text_same, CASE WHEN k IN ('docx', 'odt') THEN contains(text, 'a') END AS written_back FROM docs, (SELECT unnest(['docx', 'odt', 'png', 'svg']) AS k)")
 def file_metadata(spark, sf_dir):
     """Each whole text as a payload into and out of docx, odt, png and svg metadata, stripped again; office text rewritten in place."""
