@@ -40,6 +40,9 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "fidelity_word_selection": fidelity.word_selection,
     "fidelity_bidi_balance": fidelity.bidi_balance,
     "fidelity_audit": fidelity.audit,
+    "seal": conceal.sealed,
+    "recovery_sweep": conceal.sweep,
+    "compare_code_points": forensic.compared,
     "image_metadata": images.tables,
     "fidelity_reflow": fidelity.reflowed,
     "open_regions": regions.opened,

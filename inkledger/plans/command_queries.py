@@ -54,6 +54,33 @@ def conceal_reveal(spark, sf_dir):
     return rows.select("doc_id", "found.secret", "found.cipher", F.array_join("found.carriers", ",").alias("carriers"), F.array_join(F.transform("found.waves", lambda w: w["wave"]), ",").alias("waves"), kept.alias("text_kept"))
 
 
+_AES = f"CASE ((doc_id % 2) + 2) % 2 WHEN 0 THEN '{co.AUTHENTICATED[1]}' ELSE '{co.AUTHENTICATED[2]}' END"
+
+
+@query(f"WITH {BARE_SQL} SELECT doc_id, 'secret of ' || doc_id AS secret, {_AES} AS cipher, 'identify,zero_width,envelope,' || {_AES} AS waves, CAST(length('secret of ' || doc_id) + 29 AS BIGINT) AS payload_bytes FROM bare")
+def conceal_reveal_aes(spark, sf_dir):
+    """Each document's secret into its text under AES-GCM with keys of two lengths, and out again."""
+    rows = _pairs(spark, sf_dir)
+    parts = [co.conceal(rows.where(F.pmod("doc_id", F.lit(2)) == k), ("zero_width",), cipher, PASSWORD, SALT) for k, cipher in enumerate(co.AUTHENTICATED[1:])]
+    found = co.reveal(parts[0].unionByName(parts[1]), PASSWORD)
+    taken = F.element_at("found.waves", -1)["taken"]
+    return found.select("doc_id", "found.secret", "found.cipher", F.array_join(F.transform("found.waves", lambda w: w["wave"]), ",").alias("waves"), taken.alias("payload_bytes"))
+
+
+_SWEPT = f"CASE ((doc_id % 4) + 4) % 4 WHEN 0 THEN '{co.AUTHENTICATED[0]}' WHEN 1 THEN '{co.AUTHENTICATED[1]}' WHEN 2 THEN '{co.AUTHENTICATED[2]}' END"
+
+
+@query(f"WITH {PLAIN_SQL} SELECT doc_id, {_SWEPT} AS cipher, CASE WHEN {_SWEPT} IS NOT NULL THEN md5(text) END AS secret_md5, CASE WHEN {_SWEPT} IS NULL THEN 'no_candidate_fits:{','.join(co.AUTHENTICATED)}' END AS refusal FROM docs")
+def recovery_sweep(spark, sf_dir):
+    """Each whole text sealed by one of three ciphers, or by another password, and found by a sweep over all of them under one derivation."""
+    which = F.pmod("doc_id", F.lit(4))
+    names = F.when(which == 0, co.AUTHENTICATED[0]).when(which == 1, co.AUTHENTICATED[1]).otherwise(co.AUTHENTICATED[2])
+    docs = plain(spark, sf_dir).select("doc_id", F.col("text").alias("secret_text"), names.alias("by"))
+    boxes = co.sealed(docs.where("doc_id % 4 <> 3"), "by", PASSWORD, SALT, "secret_text").unionByName(co.sealed(docs.where("doc_id % 4 = 3"), "by", PASSWORD + ".", SALT, "secret_text"))
+    found = co.sweep(boxes.select("doc_id", "box"), PASSWORD, SALT)
+    return found.select("doc_id", "cipher", F.md5("secret").alias("secret_md5"), "refusal")
+
+
 @query(f"WITH {BARE_SQL} SELECT doc_id, CASE WHEN {_ASKED} IS NULL THEN 'secret of ' || doc_id END AS secret, CASE WHEN {_ASKED} IS NOT NULL THEN 'password_needed' END AS refusal FROM bare")
 def reveal_without_password(spark, sf_dir):
     """The same texts read without the password: only what isn't sealed comes out."""
