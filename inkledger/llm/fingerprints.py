@@ -174,7 +174,8 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The order is cut into ranges at quantiles of a bounded sample of pairs of id and text hash, so that neither repeated nor null
     ids meet in one task; only rows that repeat both do. Whole texts are shuffled once, by range; the first row of
-    each range also goes to the range before it, so that no row is missing its neighbour. The driver holds one pair per range.
+    each range also goes to the range before it, so that no row is missing its neighbour. The driver
+    holds the sample's distinct pairs, about 40 a range, and one pair per range.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -186,9 +187,14 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return spark.createDataFrame([], SCHEMA)
     share = min(1.0, 40 * ranges / total)
     picked = docs.select("doc_id", "tie").where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1_000_003)) < share * 1_000_003 + 1)
-    # Null ids are the least, so they come last in descending order.
-    pairs = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]) for r in picked.collect())
-    bounds = sorted({pairs[len(pairs) * k // ranges] for k in range(1, ranges)}) if pairs else []
+    # A pair is drawn or not whatever its rows, so it comes once with their number. Null ids are the least, so they come last in descending order.
+    pairs = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["tie"], r["n"]) for r in picked.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).collect())
+    drawn, before, bounds = sum(p[3] for p in pairs), 0, []
+    for *pair, n in pairs:
+        # Pairs in which a quantile of the drawn rows lies.
+        if before * ranges // drawn < (before + n) * ranges // drawn and before:
+            bounds.append(tuple(pair))
+        before += n
     # Range 0 has the largest ids.
     place = F.lit(len(bounds)) - _bucket(F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("tie").alias("tie")), bounds)
     ranged = docs.withColumn("place", place.cast("int"))

@@ -239,3 +239,14 @@ def test_fingerprint_query_against_brute_force(docs):
             # Exact for small sets; of larger ones, the share among the least hashes.
             assert abs(likeness - exact) < (1e-9 if len(a | b) <= fingerprints.SKETCH else 0.17)
         assert (r.fingerprint == r.edited_fingerprint) == (text == edited)
+
+
+def test_fingerprint_ranges_take_repeated_rows_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "same text")] * 3000 + [(k, f"text {k}") for k in range(2, 302)], "doc_id long, text string")
+    collected = []
+    real = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.append(out := real(self)) or out)
+    frame = fingerprints.fingerprinted(docs, ranges=4)
+    assert max(map(len, collected)) <= 301
+    got = real(frame)
+    assert len(got) == 3300 and sum(r.near_next == 1.0 for r in got if r.doc_id == 1) == 2999
