@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from .functions import charsets as cs
 from .operators import canary, capacity, clean, codec, conceal, fidelity, file_commands, forensic, heavy, licenses, provenance, regions, sealing, wordmark
-from .sources import files, images
+from .sources import credentials, files, images
 
 COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "analyze": forensic.reported,
@@ -43,6 +43,7 @@ COMMANDS: dict[str, Callable[..., DataFrame]] = {
     "seal": conceal.sealed,
     "recovery_sweep": conceal.sweep,
     "compare_code_points": forensic.compared,
+    "content_credentials": credentials.inspected,
     "image_metadata": images.tables,
     "fidelity_reflow": fidelity.reflowed,
     "open_regions": regions.opened,
