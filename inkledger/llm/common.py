@@ -34,8 +34,20 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, so that it doesn't add to the peak of what the worker does next."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def portions(batches: Iterator, rows: int, mb: int) -> Iterator:
-    """The batches in parts of at most so many rows and, down to single rows, megabytes."""
+    """The batches in parts of at most so many rows and, down to single rows, megabytes; what they took is given back behind the last."""
     for batch in batches:
         left = [batch]
         while left:
@@ -45,6 +57,7 @@ def portions(batches: Iterator, rows: int, mb: int) -> Iterator:
                 left += [part.slice(middle), part.slice(0, middle)]
             else:
                 yield part
+    give_back()
 
 
 def shared_dir(spark: SparkSession) -> str:
