@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
 from ..functions import text as tx
+from ..functions.batches import mapped
 from . import codec
 from .regions import may_have_regions, opened
 
@@ -63,7 +64,7 @@ def placed(docs: DataFrame, cover: str, bits_hex: str) -> DataFrame:
                 out.append(codes.tobytes().decode("utf-32-le"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "marked"])
 
-    return docs.mapInArrow(write, schema)
+    return mapped(docs, write, schema)
 
 
 def mark_bytes(docs: DataFrame, cover: str = "cover") -> DataFrame:
@@ -101,7 +102,7 @@ def extracted(leaks: DataFrame, column: str = "marked") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(h) // 2 for h in found], pa.int32()), pa.array(found, pa.string())], names=[*names, "found_bytes", "found_hex"])
 
     confidence = F.least(F.lit(1.0), tx.share(2.0 * tx.substitutions(F.col(column)), tx.positions(F.col(column))))
-    rows = leaks.mapInArrow(read, schema)
+    rows = mapped(leaks, read, schema)
     return rows.withColumn("found_hash", F.sha2(F.unhex("found_hex"), 256)).withColumn("detection", confidence)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
 from ..functions import text as tx
+from ..functions.batches import mapped
 
 CARRIER_IDS = ("zero_width", "homoglyph", "bidi", "whitespace_var")
 
@@ -96,7 +97,7 @@ def compared(pairs: DataFrame, left: str = "cover", right: str = "marked", id_co
 
     rows = pairs.select(id_col, F.coalesce(left, F.lit("")).alias("_left"), F.coalesce(right, F.lit("")).alias("_right"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, codepoint string, left_n long, right_n long, change string")
+    return mapped(rows, run, f"`{id_col}` {kind}, codepoint string, left_n long, right_n long, change string")
 
 
 def bits_per_character(text: str) -> float:
@@ -122,7 +123,7 @@ def with_entropy(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
             found = [pa.array([bits_per_character(t) for t in batch.column(k).to_pylist()], pa.float64()) for k in at]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def entropy(docs: DataFrame, column: str = "marked", id_col: str = "doc_id") -> DataFrame:

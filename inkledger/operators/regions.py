@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charsets as cs
 from ..functions import text as tx
+from ..functions.batches import mapped
 from . import codec
 
 #: Stands for a region in an opened text: a code point that is no character.
@@ -44,7 +45,7 @@ def opened(docs: DataFrame, column: str, name: str = "open") -> DataFrame:
             texts = pa.array([opened_text(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def slots(open_: Column) -> Column:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import mapped
+
 # Public configurations as name, seed, share of the green list, tokens of context.
 CONFIGS = (
     ("kgw-hash:transformers-default-h1", 15_485_863, 0.25, 1),
@@ -178,7 +180,7 @@ def scrub_report(docs: DataFrame, column: str, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, total long, changed_light long, changed_medium long, changed_heavy long, canonical_kept boolean, signed boolean, found boolean, found_by_other_key boolean"
-    return docs.select("doc_id", column).mapInArrow(report, schema)
+    return mapped(docs.select("doc_id", column), report, schema)
 
 
 # Phrases that tell a refusal to rewrite.
