@@ -132,26 +132,29 @@ def scrubbed(text: str, stride: int) -> str:
     return _with_variants(text, lambda k, v: 1 - v if k % stride == 0 else v)
 
 
-_MAGIC = [0xA5C3 >> (15 - k) & 1 for k in range(16)]
+#: Synonyms that a mark needs, and how many it takes where there are more: another key finds it by chance in one text of 2 to the power of their number.
+LEAST, MOST = 16, 64
+_MAGIC = [0xA5C3 >> (15 - k) & 1 for k in range(LEAST)] + [0] * (MOST - LEAST)
 
 
-def _whitening(key: bytes, text: str) -> list[int]:
+def _marking(key: bytes, text: str, n: int) -> list[int]:
+    """The variants of the first n synonyms of a marked text."""
     own = hashlib.sha256(b"\x03" + key + hashlib.sha256(canonical(text).encode()).digest()).digest()
-    return [hashlib.sha256(own + b"\x02" + k.to_bytes(4, "big")).digest()[0] & 1 for k in range(16)]
+    return [m ^ hashlib.sha256(own + b"\x02" + k.to_bytes(4, "big")).digest()[0] & 1 for k, m in enumerate(_MAGIC[:n])]
 
 
 def signed(text: str, key: bytes) -> str | None:
-    """The text with a keyed signature in its first 16 synonyms, or None where it has fewer."""
+    """The text with a keyed signature in its synonyms, the first MOST of them, or None where it has fewer than LEAST."""
     places = [w for w in _letters(text) if w in _PLACE]
-    if len(places) < 16:
+    if len(places) < LEAST:
         return None
-    bits = [a ^ b for a, b in zip(_MAGIC, _whitening(key, text), strict=True)]
-    return _with_variants(text, lambda k, v: bits[k] if k < 16 else v)
+    bits = _marking(key, text, len(places))
+    return _with_variants(text, lambda k, v: bits[k] if k < MOST else v)
 
 
 def has_signature(text: str, key: bytes) -> bool:
-    found = [_PLACE[w][1] for w in _letters(text) if w in _PLACE][:16]
-    return len(found) == 16 and [a ^ b for a, b in zip(found, _whitening(key, text), strict=True)] == _MAGIC
+    found = [_PLACE[w][1] for w in _letters(text) if w in _PLACE][:MOST]
+    return len(found) >= LEAST and found == _marking(key, text, len(found))
 
 
 def _letters(text: str) -> list[str]:
